@@ -2,6 +2,7 @@
 
 from habitus.plans import (  # noqa: F401
     normalisation,
+    profiling,
 )
 from habitus.plans.registry import ORACLE, QUERIES
 
