@@ -11,6 +11,7 @@ from habitus.plans.ctes import CLEAN, MODEL_BASE, SANE, TXN, UNIQ, VALID, LABELL
 from habitus.plans.normalisation import FIXTURE_ML
 from habitus.plans.profiling import CCY
 from habitus.plans.registry import query
+from habitus.session import materialize
 from habitus.sources.ingest import union_latest
 from habitus.sources.tables import event_stream_table, transactions
 
@@ -66,10 +67,10 @@ def w02(spark, d):
     return V.velocity_features(counted, F.col("frame_median")).select("id", F.col("spent").alias("spend_1h"), F.round("amt_1h_ratio", 6).alias("amt_1h_ratio"))
 
 
-@query("w03_recency", with_(EV) + """SELECT id, round(CASE WHEN p IS NULL THEN 0 ELSE least((us - p) / 3.6e9::DOUBLE, 720) END, 9) AS recency_hours FROM (SELECT id, us, lag(us) OVER (PARTITION BY customer_key ORDER BY us, id) AS p FROM ev)""")
+@query("w03_recency", with_(EV) + """SELECT id, CASE WHEN p IS NULL THEN 0 ELSE least((us - p) / 3.6e9::DOUBLE, 720) END AS recency_hours FROM (SELECT id, us, lag(us) OVER (PARTITION BY customer_key ORDER BY us, id) AS p FROM ev)""")
 def w03(spark, d):
     rows = event_rows(spark, d)
-    return V.velocity_features(V.velocity(rows), F.lit(1.0)).select("id", F.round("recency_hours", 9).alias("recency_hours"))
+    return V.velocity_features(V.velocity(rows), F.lit(1.0)).select("id", "recency_hours")
 
 
 @query("f11_history_window", with_(EV) + """SELECT a.id, count(b.id) AS history_rows, CAST(coalesce(sum(CAST(b.amount AS DECIMAL(18,2))), 0) AS DOUBLE) AS history_amount FROM ev a LEFT JOIN ev b
@@ -205,7 +206,7 @@ def a18_psi(spark, d):
     sane = L.sane_amount(transactions(spark, d))
     mark = B.watermark_of(sane.where("ts < TIMESTAMP '2000-01-01'"))
     cur = B.bin_shares(sane.where("ts >= TIMESTAMP '2000-01-01' AND amount >= 20000"), mark.select("edges").scalar())
-    return cur.select(F.round(B.psi(mark.select("ref_share").scalar(), F.col("share")), 6).alias("psi"))
+    return cur.withColumn("ref", mark.select("ref_share").scalar()).select(F.round(B.psi(F.col("ref"), F.col("share")), 6).alias("psi"))
 
 
 @query("w13_busiest_buckets", with_(*MODEL_BASE, TW, MIDS, BASELINE) + """SELECT customer_key, list_transform(list_filter(list_sort([{'v': -x, 'i': i - 1} FOR x, i IN hh])[1:3], lambda s: s.v < 0), lambda s: s.i) AS hours,
@@ -228,9 +229,11 @@ f0 AS (SELECT f.*, b.amt_mean, b.amt_std, b.amt_max, b.amt_median, b.amt_p95, b.
 
 
 def split(spark, d):
-    """Baselines from the past, transactions of the future."""
-    train = training(spark, d).where("ts < TIMESTAMP '2000-01-01'")
-    return train, labelled(spark, d).where("ts >= TIMESTAMP '2000-01-01'")
+    """Training rows of the past and transactions of the future; both are read many times, so they are written once."""
+    rows = materialize(labelled(spark, d), "labelled")
+    clean = rows.where("NOT bad")
+    train = materialize(L.only_eligible(clean, L.ml_eligible(clean, **FIXTURE_ML)).where("ts < TIMESTAMP '2000-01-01'"), "train")
+    return train, rows.where("ts >= TIMESTAMP '2000-01-01'")
 
 
 @query("x01_amount_deviation", FEAT_BASE + """SELECT transaction_id, round(ln(1 + amount), 6) AS amt_log, round(CASE WHEN cold THEN 0 ELSE (amount - amt_mean) / (amt_std + 1e-9) END, 5) AS amt_z,
