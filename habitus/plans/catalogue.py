@@ -1,6 +1,7 @@
 """Importing this module registers every query."""
 
 from habitus.plans import (  # noqa: F401
+    deciding,
     modelling,
     normalisation,
     profiling,
