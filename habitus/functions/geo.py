@@ -38,9 +38,11 @@ def ip_number(c: Column | str) -> Column:
 
 def is_public_ip(c: Column | str) -> Column:
     """True only for a valid, globally routable IPv4 address (IPv6 text counts as unusable)."""
-    n = ip_number(c)
-    reserved = reduce(lambda a, b: a | b, [n.between(_as_int(lo), _as_int(hi)) for lo, hi in RESERVED_V4])
-    return F.coalesce(n.isNotNull() & ~reserved, F.lit(False))
+    # the lambda keeps the parsed number in one variable, so that it is computed once and the plan stays small
+    def routable(n: Column) -> Column:
+        return ~reduce(lambda a, b: a | b, [n.between(_as_int(lo), _as_int(hi)) for lo, hi in RESERVED_V4])
+
+    return F.coalesce(F.get(F.transform(F.array(ip_number(c)), routable), F.lit(0)), F.lit(False))
 
 
 def valid_point(lat: Column, lon: Column) -> Column:
@@ -113,18 +115,21 @@ def extract_plus_code(c: Column | str) -> Column:
     return F.when(token.rlike(VALID), token)
 
 
-def decode_digits(digits: Column) -> dict[str, Column]:
-    """South-west corner and cell size of a code given as plain digits (no separator, no padding)."""
-    n = F.length(digits)
+def digit_values(digits: Column) -> Column:
+    """The value of every code digit, in order."""
+    return F.transform(F.sequence(F.lit(1), F.length(digits)), lambda i: F.instr(F.lit(ALPHABET), F.substring(digits, i, F.lit(1))) - 1)
+
 
+def decode_digits(values: Column) -> dict[str, Column]:
+    """South-west corner and cell size of a full code, from the array of its digit values."""
     def at(i: int) -> Column:
-        return F.when(n > i, F.instr(F.lit(ALPHABET), F.substring(digits, i + 1, 1)) - 1)
+        return F.get(values, F.lit(i))
 
     lat, lon = F.lit(-90.0 * CELLS), F.lit(-180.0 * CELLS)
     for pair in range(5):
         worth = float(20 ** (4 - pair))
         lat, lon = lat + F.coalesce(at(2 * pair) * worth, F.lit(0.0)), lon + F.coalesce(at(2 * pair + 1) * worth, F.lit(0.0))
-    pairs = F.least(F.floor(n / 2), F.lit(5))
+    pairs = F.least(F.floor(F.size(values) / 2), F.lit(5))
     size = F.pow(F.lit(20.0), (F.lit(5) - pairs).cast("double")) / CELLS
     lat, lon = lat / CELLS, lon / CELLS
     lat_size, lon_size = size, size
@@ -142,10 +147,11 @@ def reference_digits(lat: Column, lon: Column) -> Column:
     a = F.floor((F.least(F.greatest(lat, F.lit(-90.0)), F.lit(90.0 - 1e-9)) + 90.0) * CELLS)
     o = F.floor(F.pmod(lon + 180.0, F.lit(360.0)) * CELLS)
 
-    def letter(v: Column, place: int) -> Column:
-        return F.substring(F.lit(ALPHABET), (F.floor(v / 20**place) % 20 + 1).cast("int"), F.lit(1))
+    def letter(v: Column, worth: Column) -> Column:
+        return F.substring(F.lit(ALPHABET), (F.floor(v / worth) % 20 + 1).cast("int"), F.lit(1))
 
-    return F.concat(*[letter(v, place) for place in (4, 3, 2, 1, 0) for v in (a, o)])
+    worths = F.array(*[F.lit(float(20**place)) for place in (4, 3, 2, 1, 0)])
+    return F.array_join(F.transform(worths, lambda w: F.concat(letter(a, w), letter(o, w))), "")
 
 
 def resolve_plus_codes(df: DataFrame, col: str, ref_lat: str | None = None, ref_lon: str | None = None) -> DataFrame:
@@ -164,7 +170,8 @@ def resolve_plus_codes(df: DataFrame, col: str, ref_lat: str | None = None, ref_
     short = missing > 0
     prefix = F.substring(reference_digits(rlat, rlon), F.lit(1), missing)
     df = df.withColumns({"_digits": F.when(short, F.concat(prefix, plain)).otherwise(plain), "_short": short, "_step": F.pow(F.lit(20.0), 2.0 - missing / 2.0)})
-    area = decode_digits(F.col("_digits"))
+    df = df.withColumn("_values", digit_values(F.col("_digits")))
+    area = decode_digits(F.col("_values"))
     known = F.col("_digits").isNotNull()
     centre = {"_lat": area["lat"] + area["lat_size"] / 2, "_lon": area["lon"] + area["lon_size"] / 2, "_h": area["lat_size"], "_w": area["lon_size"]}
     df = df.withColumns({n: F.when(known, c) for n, c in centre.items()})
@@ -181,7 +188,7 @@ def resolve_plus_codes(df: DataFrame, col: str, ref_lat: str | None = None, ref_
     across = F.col("_w") * 111_320.0 * F.greatest(F.lit(0.1), F.cos(F.radians(lat)))
     return df.withColumns({
         "pc_lat": lat, "pc_lon": lon, "pc_precision_m": F.when(lat.isNotNull(), F.greatest(F.col("_h") * 111_320.0, across)),
-    }).drop("_digits", "_short", "_step", "_lat", "_lon", "_h", "_w")
+    }).drop("_digits", "_values", "_short", "_step", "_lat", "_lon", "_h", "_w")
 
 
 def resolve_coords(df: DataFrame, registry: DataFrame, resolver: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from habitus.plans import (  # noqa: F401
     deciding,
+    geography,
+    ingesting,
     modelling,
     normalisation,
     profiling,
