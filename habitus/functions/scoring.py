@@ -16,8 +16,15 @@ SUB_BURST = ("vel_1m", "vel_2m", "vel_3m", "vel_10m", "vel_15m", "vel_1h")
 
 
 def ecdf_lookup(quantiles: Column, x: Column) -> Column:
-    """Share of the stored quantiles that are at most x."""
-    return F.size(F.filter(quantiles, lambda q: q <= x)) / F.size(quantiles)
+    """Share of the stored, sorted quantiles that are at most x.
+
+    Two short searches instead of one long one: first which block of 32, then where in the block.
+    """
+    block = 32
+    heads = F.transform(F.sequence(F.lit(0), F.floor((F.size(quantiles) - 1) / block)), lambda i: F.get(quantiles, (i * block).cast("int")))
+    full = F.greatest(F.size(F.filter(heads, lambda q: q <= x)) - 1, F.lit(0)) * block
+    inside = F.size(F.filter(F.slice(quantiles, full + 1, F.lit(block)), lambda q: q <= x))
+    return (full + inside) / F.size(quantiles)
 
 
 def _total(terms: list[Column]) -> Column:

@@ -5,8 +5,10 @@ from habitus.plans import (  # noqa: F401
     geography,
     ingesting,
     modelling,
+    monitoring,
     normalisation,
     profiling,
+    training,
 )
 from habitus.plans.registry import ORACLE, QUERIES
 
