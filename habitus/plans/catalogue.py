@@ -4,6 +4,7 @@ from habitus.plans import (  # noqa: F401
     deciding,
     geography,
     ingesting,
+    live,
     modelling,
     monitoring,
     normalisation,
