@@ -151,7 +151,8 @@ def reference_digits(lat: Column, lon: Column) -> Column:
         return F.substring(F.lit(ALPHABET), (F.floor(v / worth) % 20 + 1).cast("int"), F.lit(1))
 
     worths = F.array(*[F.lit(float(20**place)) for place in (4, 3, 2, 1, 0)])
-    return F.array_join(F.transform(worths, lambda w: F.concat(letter(a, w), letter(o, w))), "")
+    digits = F.array_join(F.transform(worths, lambda w: F.concat(letter(a, w), letter(o, w))), "")
+    return F.when(lat.isNotNull() & lon.isNotNull(), digits)
 
 
 def resolve_plus_codes(df: DataFrame, col: str, ref_lat: str | None = None, ref_lon: str | None = None) -> DataFrame:

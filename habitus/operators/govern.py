@@ -150,3 +150,9 @@ def performance_history(manifests: DataFrame) -> DataFrame:
     return manifests.withColumns({
         "auc_change": F.col("synthetic_auc") - F.lag("synthetic_auc").over(w),
         "auc_trend": F.avg("synthetic_auc").over(w.rowsBetween(-4, 0))})
+
+
+def schema_state(stored: Column, running: list[str]) -> Column:
+    """How a stored feature list relates to the running one: equal, prefix or mismatch."""
+    now = F.array(*[F.lit(f) for f in running])
+    return F.when(stored == now, "equal").when(stored == F.slice(now, 1, F.size(stored)), "prefix").otherwise("mismatch")

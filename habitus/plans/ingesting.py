@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from habitus.config import Settings
+from habitus.config import FEATURES, Settings
 from habitus.functions.maps import json_to_map, map_text, map_to_json
 from habitus.functions.normalize import exact_sum
 from habitus.operators import filters as L, govern as V, profile as P
@@ -337,3 +337,11 @@ def o03(spark, d):
 @query("o09_performance_history", with_(MODELS) + """SELECT version, round(synthetic_auc - lag(synthetic_auc) OVER (ORDER BY seq), 9) AS auc_change, round(avg(synthetic_auc) OVER (ORDER BY seq ROWS 4 PRECEDING), 9) AS auc_trend FROM md""")
 def o09(spark, d):
     return V.performance_history(manifests(spark, d)).select("version", F.round("auc_change", 9).alias("auc_change"), F.round("auc_trend", 9).alias("auc_trend"))
+
+
+@query("m15_schema_guard", "SELECT concat('m', n_nationkey) AS version, CASE WHEN n_nationkey % 3 = 1 THEN 'mismatch' WHEN n_nationkey >= 20 THEN 'equal' ELSE 'prefix' END AS state FROM nation")
+def m15(spark, d):
+    names = F.array(*[F.lit(f) for f in FEATURES])
+    kept = F.slice(names, 1, F.when(F.col("n_nationkey") >= 20, len(FEATURES)).otherwise(F.col("n_nationkey") + 1))
+    stored = F.when(F.col("n_nationkey") % 3 == 1, F.concat(F.array(F.lit("other")), kept)).otherwise(kept)
+    return load(spark, d, "nation").select(F.concat(F.lit("m"), "n_nationkey").alias("version"), V.schema_state(stored, list(FEATURES)).alias("state"))
