@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 FINE = 4096  # bins per doubling for ungrouped data, coarse enough that the table of bins stays small
-COARSE = 64
+COARSE = 8
 
 
 def monotone_bin(x: Column | str, resolution: int = COARSE) -> Column:
@@ -52,6 +52,9 @@ def quantile_arrays(
     """
     counts = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_bin", monotone_bin("_x", resolution))
+    # the join below implies these filters; stating them here keeps both readers of the counts alike, so they share one shuffle
+    for c in (*keys, "_bin"):
+        counts = counts.where(F.col(c).isNotNull())
     per_bin = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_m"))
     group = Window.partitionBy(*keys)
     spans = per_bin.select(

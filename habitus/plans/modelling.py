@@ -23,8 +23,8 @@ def labelled(spark, d):
 
 
 def training(spark, d):
-    """Clean rows of eligible customers."""
-    clean = labelled(spark, d).where("NOT bad")
+    """Clean rows of eligible customers; the labelled rows are read several times, so they are written once."""
+    clean = materialize(labelled(spark, d), "labelled").where("NOT bad")
     return L.only_eligible(clean, L.ml_eligible(clean, **FIXTURE_ML))
 
 

@@ -11,6 +11,7 @@ from habitus.operators import filters as L, peers as Q, profile as P
 from habitus.operators.ordered import quantiles
 from habitus.plans.ctes import PROFILE_BASE, SANE, TXN, UNIQ, with_
 from habitus.plans.registry import query
+from habitus.session import materialize
 from habitus.sources.tables import transactions
 
 GATE = Settings(min_clean_txns=20, max_fraud_txns=2)
@@ -39,6 +40,12 @@ def clean_rows(spark, d):
     return history(spark, d)[1]
 
 
+def stored_history(spark, d):
+    """The same two tables, written once: for queries that read them many times."""
+    unique = materialize(history(spark, d)[0], "history")
+    return unique, L.strict_clean(unique)
+
+
 @query("a01_profile_core", BASE + f"""SELECT entity_key, count(*) AS total_tx_count, {dsum()} AS total_tx_amount, {dsum()} / count(*) AS avg_amount,
   min(amount) AS min_amount, max(amount) AS max_amount, round(stddev_samp(amount), 2) AS std_amount,
   round(quantile_cont(amount, 0.5), 4) AS median_amount, round(quantile_cont(amount, 0.95), 4) AS p95_amount,
@@ -301,7 +308,7 @@ def a28(spark, d):
 SELECT entity_key, CAST(greatest(0, least(100, round_even(100.0::DOUBLE * (0.5 * (0.5::DOUBLE * (least(1.0::DOUBLE, days / 90.0::DOUBLE) + least(1.0::DOUBLE, clean_txns / 20.0::DOUBLE)))
   + 0.3 * (1.0 / (1.0 + sd / (av + 1.0))) + 0.2 * ((2 * has_city + has_benef + 2) / 5.0::DOUBLE)), 0))) AS INTEGER) AS confidence_score FROM gate JOIN a USING (entity_key)""")
 def a26(spark, d):
-    unique, clean = history(spark, d)
+    unique, clean = stored_history(spark, d)
     return P.build_profiles(clean, unique, P.newest(clean), cfg=GATE).select("entity_key", "confidence_score")
 
 

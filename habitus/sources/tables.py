@@ -18,13 +18,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan that gives fewer tasks than there are cores (one small file); larger inputs keep their own splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical transactions derived from the sales tables (column contract in FIXTURES.md, part B).
 
     Lineitem and orders meet on the order key; the small dimensions are left to the optimizer, which broadcasts
     them only while their measured size is under its threshold.
     """
-    line = load(spark, sf_dir, "lineitem")
+    line = spread(load(spark, sf_dir, "lineitem"), "l_orderkey")
     orders = load(spark, sf_dir, "orders")
     customer = load(spark, sf_dir, "customer")
     nation = load(spark, sf_dir, "nation")
