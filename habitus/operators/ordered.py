@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-FINE = 4096  # bins per doubling for ungrouped data, coarse enough that the table of bins stays small
+FINE = 1024  # bins per doubling for ungrouped data, coarse enough that the table of bins stays small
 COARSE = 8
 
 
