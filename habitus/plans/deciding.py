@@ -9,7 +9,7 @@ from habitus.functions import scoring as S
 from habitus.operators import evaluate as E
 from habitus.plans.ctes import with_
 from habitus.plans.registry import query
-from habitus.sources.tables import load
+from habitus.sources.tables import load, spread
 
 # One expression per column, in a dialect both engines read: a spread of values that crosses every rule's boundary.
 H = "(({m} * (l_orderkey * 8 + l_linenumber) + l_partkey + l_suppkey) % 65537) / 65537e0"
@@ -48,7 +48,7 @@ KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 def scored(spark, d):
     """Order lines as rows with features, detector scores, a weak label and a cold-start flag."""
     cols = {**PSEUDO, **SCORES}
-    return load(spark, d, "lineitem").select(
+    return spread(load(spark, d, "lineitem"), "l_orderkey").select(
         *KEYS, *[F.expr(e).cast("double").alias(n) for n, e in cols.items()], F.expr(COLD).alias("is_cold_start"), F.expr(LABEL).alias("label"))
 
 

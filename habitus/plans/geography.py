@@ -8,7 +8,7 @@ from habitus.functions import geo as G
 from habitus.plans.ctes import with_
 from habitus.plans.registry import query
 from habitus.sources.locations import CITIES, STATES, location_registry
-from habitus.sources.tables import event_stream_table, load
+from habitus.sources.tables import event_stream_table, load, spread
 
 PLACES = ("Ikeja, Lagos", "Benin City, Edo State", "Lafia 950101, Nasarawa", "Wuse, Abuja", "Somewhere, Kano", "Delta", "Nowhere, Atlantis", "-",
           "Port Harcourt., Rivers", "Ado Ekiti, Ekiti", "Zaria, Kaduna", "niger, minna", "Yola/North, Adamawa")
@@ -31,7 +31,7 @@ HIT = """hit AS (SELECT s.*, coalesce(c1.name, c2.name, s1.name, s2.name) AS loc
 
 def places(spark, d):
     place = F.expr(f"element_at({PLACE_EXPR}, cast(l_suppkey % {len(PLACES)} + 1 AS int))")
-    return load(spark, d, "lineitem").withColumn("place", place).select(*KEYS, F.expr(WHERE).alias("location"))
+    return spread(load(spark, d, "lineitem"), "l_orderkey").withColumn("place", place).select(*KEYS, F.expr(WHERE).alias("location"))
 
 
 @query("j13_registry_lookup", with_(REG, LOC, SEGS, HIT) + "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, loc_name, loc_kind, loc_lat, loc_lon FROM hit")
