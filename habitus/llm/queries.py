@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from habitus.llm import bpe
-from habitus.session import prepare
+from habitus.llm import bpe, mpeg_audio, token_store
+from habitus.llm.text import stored
+from habitus.session import prepare, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,3 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = stored(mpeg_audio.store(table(spark, sf_dir, "documents")), "media")
+    return mpeg_audio.inspect(media).drop("offsets")
+
+
+@query
+def op8_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    token_store.write(table(spark, sf_dir, "documents"), path)
+    return token_store.report(spark, path)

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from habitus.session import scratch
+
 U64 = np.uint64
 BYTES_PER_BATCH = 4 << 20  # of text that a Python worker holds at once, unless one text is longer
 SEGMENT = 1 << 20  # word bytes hashed at once
@@ -168,3 +170,10 @@ def remainder(column: str, n: int):
 
 def total_length(column: str = "text"):
     return F.coalesce(F.octet_length(column), F.lit(0))
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that is read more than once to shared storage, and read it back: no lost executor can undo it."""
+    path = scratch(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
