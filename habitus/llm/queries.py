@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from habitus.llm import bpe, mpeg_audio, token_store
+from habitus.llm import bpe, decontaminate, mpeg_audio, token_store
 from habitus.llm.text import stored
 from habitus.session import prepare, scratch
 
@@ -15,28 +15,59 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(prepare(spark), sf_dir)
-    return fn
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under the name of its function, with the SQL that must give the same rows."""
+
+    def register(fn: Query) -> Query:
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(prepare(spark), sf_dir)
+        if sql is not None:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query
+@query()
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents")))
 
 
-@query
+@query()
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = stored(mpeg_audio.store(table(spark, sf_dir, "documents")), "media")
     return mpeg_audio.inspect(media).drop("offsets")
 
 
-@query
+@query()
 def op8_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     token_store.write(table(spark, sf_dir, "documents"), path)
     return token_store.report(spark, path)
+
+
+WORDS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT item_id, least(10, len(w)) AS n, w FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+item AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS k FROM b, unnest(range(1, len(w) - n + 2)) AS t(s)),
+size AS (SELECT DISTINCT n FROM item),
+win AS (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS k FROM d, size, unnest(range(1, len(w) - n + 2)) AS t(s)),
+occ AS (SELECT DISTINCT doc_id, s, n, k FROM win SEMI JOIN item USING (n, k)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM occ) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM occ JOIN item USING (n, k)) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+@query(DECONTAMINATION)
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
