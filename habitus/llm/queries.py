@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from habitus.llm import bpe, decontaminate, mpeg_audio, token_store
+from habitus.llm import bpe, decontaminate, mpeg_audio, superkmer, token_store
 from habitus.llm.text import stored
 from habitus.session import prepare, scratch
 
@@ -71,3 +71,19 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)"""
 @query(DECONTAMINATION)
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+SUBSTRINGS = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS k FROM d, unnest(range(1, len(w) - 18)) AS t(s)),
+late AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM late),
+word AS (SELECT doc_id, p, w[p] AS v FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+kept AS (SELECT doc_id, string_agg(v, ' ' ORDER BY p) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+@query(SUBSTRINGS)
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.dedup(table(spark, sf_dir, "documents")).drop("kept")
