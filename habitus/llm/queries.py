@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from habitus.llm import bpe, decontaminate, mpeg_audio, superkmer, token_store
+from habitus.llm import bpe, decontaminate, group_join, mpeg_audio, superkmer, token_store
 from habitus.llm.text import stored
 from habitus.session import prepare, scratch
 
@@ -87,3 +87,20 @@ FROM d LEFT JOIN kept USING (doc_id)"""
 @query(SUBSTRINGS)
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+LINKS = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + least(4, len(w)) - 1], ' ') AS k
+  FROM d, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS t(s) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM pair JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 85 * (p.n + q.n - i)),
+reach AS (SELECT x AS doc_id, x AS r FROM link UNION SELECT reach.doc_id, link.y FROM reach JOIN link ON link.x = reach.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(r, doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id) USING (doc_id)"""
+
+
+@query(LINKS)
+def op10_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.link_components(table(spark, sf_dir, "documents"))
