@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from habitus.llm import bpe, decontaminate, group_join, mpeg_audio, superkmer, token_store
+from habitus.llm import bpe, decontaminate, group_join, language_id, mpeg_audio, superkmer, token_store
 from habitus.llm.text import stored
 from habitus.session import prepare, scratch
 
@@ -104,3 +104,8 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS r FROM rea
 @query(LINKS)
 def op10_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_join.link_components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_predictions(table(spark, sf_dir, "documents"))
