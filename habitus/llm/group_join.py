@@ -23,7 +23,8 @@ from habitus.llm.superkmer import ranked
 
 SHINGLE, PERCENT = 4, 85
 COUNTED_PERCENT, COUNTED_MORE = 25, 4  # of each text's tokens in the order of hashes, those whose frequency is counted
-COMMON = 1 << 21  # a token is common from one in so many counted on; so many hashes (16 MB) are at most
+LEAST_COMMON = 4  # a token counted so often is common,
+COMMON = 1 << 20  # unless there are more of them than these (8 MB): then only the most frequent are
 PART = 64  # texts of a group that are opened together
 QUERIES = 128  # queries that one task compares with an opened group
 
@@ -64,10 +65,14 @@ def common_tokens(documents: DataFrame, size: int) -> np.ndarray:
         found, times = np.unique(tokens[first_tokens(tokens, n, take)], return_counts=True)
         yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(times)], ["token", "n"])
 
-    counts = stored(per_batch(documents.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 4"), "tokens")
-    total = counts.agg(F.sum("n")).first()[0] or 0  # those seen less often are none of the common ones
-    common = counts.filter(F.col("n") > total // COMMON).select("token").toPandas()["token"]
-    return np.sort(common.to_numpy(np.int64).view(U64))
+    step = F.floor(F.log("n") / F.log(F.lit(1.1)))
+    counts = per_batch(documents.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COMMON)
+    counts = stored(counts.withColumn("step", step), "tokens")
+    steps = counts.groupBy("step").agg(F.count("*").alias("tokens")).toPandas().sort_values("step", ascending=False)  # a few hundred rows
+    fits = steps[steps["tokens"].cumsum() <= COMMON]["step"]
+    if not len(fits):
+        return np.empty(0, U64)
+    return np.sort(counts.filter(F.col("step") >= int(fits.min())).select("token").toPandas()["token"].to_numpy(np.int64).view(U64))
 
 
 def sets(documents: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -139,9 +144,9 @@ def link_inside(table: pa.Table, size: int, percent: int) -> pa.Table:
 
 
 def link_queries(table: pa.Table, size: int, percent: int) -> pa.Table:
-    """One link, if there is any, between each query and the opened part."""
+    """Links between each query and the opened part: one for every component above the query's own that it meets."""
     query = table["query"].to_numpy(zero_copy_only=False)
-    rows, texts = table["row"].to_numpy(), raw(table["text"].combine_chunks())
+    rows, label, texts = table["row"].to_numpy(), table["label"].to_numpy(), raw(table["text"].combine_chunks())
     member = np.flatnonzero(~query)
     opened = Opened([texts[i] for i in member], size)
     asked = np.flatnonzero(query)
@@ -149,16 +154,23 @@ def link_queries(table: pa.Table, size: int, percent: int) -> pa.Table:
     end, out = np.cumsum(n), []
     for k, i in enumerate(asked.tolist()):
         overlap = opened.overlaps(tokens[end[k] - n[k] : end[k]], percent)
-        if overlap is not None and (hit := np.flatnonzero(linked(overlap, n[k], opened.n, percent))).size:
-            out.append((rows[i], rows[member[hit[0]]]))
+        if overlap is None:
+            continue
+        hit = member[linked(overlap, n[k], opened.n, percent)]
+        met, first = np.unique(label[hit], return_index=True)
+        out += [(rows[i], rows[j]) for j in hit[first[met > label[i]]].tolist()]
     return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
 
 def parts(rows: DataFrame, *keys: str) -> DataFrame:
-    """Add a part to the rows of each group (by keys), so that parts hold about PART texts."""
-    count = rows.groupBy(*keys).agg(F.ceil(F.count("*") / PART).alias("of"), F.count("*").alias("texts"),
-                                    F.min(F.struct(F.xxhash64("row"), "row")).row.alias("low"), F.max(F.struct(F.xxhash64("row"), "row")).row.alias("high"))
-    return rows.join(count, [*keys]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("of")))
+    """Add a part to the rows of each group (by keys), so that parts hold about PART texts, and the group's two pivots.
+
+    One pivot is the text whose tokens are held most often, which has fewest words of its own; the other is any text.
+    """
+    central, any_row = F.struct("weight", "row"), F.struct(F.xxhash64("row"), "row")
+    count = rows.groupBy(*keys).agg(
+        F.ceil(F.count("*") / PART).alias("of"), F.count("*").alias("texts"), F.max(central).row.alias("low"), F.min(any_row).row.alias("high"))
+    return rows.join(stored(count, "groups"), [*keys]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("of")))
 
 
 def with_text(tasks: DataFrame, place: DataFrame, documents: DataFrame) -> DataFrame:
@@ -193,21 +205,21 @@ def later_links(postings: DataFrame, texts: DataFrame, place: DataFrame, documen
     banded = texts.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.04))))
     member = stored(parts(banded, "key", "band").select("row", "n", "label", F.xxhash64("key", "band", "part").alias("group")), "members")
     placed = stored(postings.join(member, "row").select("token", "row", "n", "label", "group"), "placed")
-    matrix = placed.groupBy("token", "group", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    asked = placed.select("token", F.col("row").alias("q"), "n", F.col("label").alias("own"))
+    matrix = placed.groupBy("token", "group").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("label").alias("other"))
+    asked = placed.select("token", F.col("row").alias("q"), "n", "label")
     pairs = (
-        asked.join(matrix, "token").filter("own < label").filter((percent * F.col("lo") <= 100 * F.col("n")) & (100 * F.col("hi") >= percent * F.col("n")))
-        .groupBy("q", "group", "label").agg(F.count("*").alias("count"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("n").alias("n"))
-        .filter(bound(percent)).select("q", "group", "label")
+        asked.join(matrix, "token").filter("label < other").filter((percent * F.col("lo") <= 100 * F.col("n")) & (100 * F.col("hi") >= percent * F.col("n")))
+        .groupBy("q", "group").agg(F.count("*").alias("count"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("n").alias("n"))
+        .filter(bound(percent)).select("q", "group")
     )
     pairs = stored(pairs, "openings")
-    tasks = pairs.groupBy("group", "label").agg(F.ceil(F.count("*") / QUERIES).alias("of"))
-    queries = pairs.join(tasks, ["group", "label"]).select(
-        "group", "label", F.pmod(F.xxhash64("q"), F.col("of")).alias("salt"), F.col("q").alias("row"), F.lit(True).alias("query"))
-    opened = member.join(tasks, ["group", "label"]).select(
-        "group", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("salt"), "row", F.lit(False).alias("query"))
-    work = with_text(queries.union(opened), place, documents)
-    return work.groupBy("group", "label", "salt").applyInArrow(lambda t: link_queries(t, size, percent), "a long, b long")
+    tasks = stored(pairs.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).alias("of")), "openings")
+    queries = pairs.join(tasks, "group").select("group", F.pmod(F.xxhash64("q"), F.col("of")).alias("salt"), F.col("q").alias("row"), F.lit(True).alias("query"))
+    opened = member.join(tasks, "group").select(
+        "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("salt"), "row", F.lit(False).alias("query"))
+    labels = member.select("row", "label")
+    work = with_text(queries.union(opened).join(labels, "row"), place, documents)
+    return work.groupBy("group", "salt").applyInArrow(lambda t: link_queries(t, size, percent), "a long, b long")
 
 
 def link_components(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -224,14 +236,14 @@ def link_components(documents: DataFrame, size: int = SHINGLE, percent: int = PE
     tokens = some.select(F.explode("prefix").alias("token"), "row", "n", "hi")
     shared = tokens.groupBy("token").agg(F.min("hi").alias("x"), F.max("hi").alias("y"), F.count("*").alias("often")).filter("x < y").select("token", "often")
     postings = stored(tokens.select("token", "row", "n").join(shared, "token").join(classes.select("row"), "row", "left_semi"), "postings")
-    active = postings.groupBy("row").agg(F.first("n").alias("n"), F.count("*").alias("held"), F.max(F.struct("often", "token")).token.alias("key"))
+    active = postings.groupBy("row").agg(F.first("n").alias("n"), F.count("*").alias("held"), F.max(F.struct("often", "token")).token.alias("key"), F.sum("often").alias("weight"))
     active = stored(active, "active")
     place = rows.select("row", "doc", "mark").join(active.select("row"), "row", "left_semi")
     # whichever texts are taken here, the second step finds all links that are left
-    alike = active.filter(F.col("held") >= F.greatest(F.lit(2.0), 0.3 * (1 - percent / 100) * F.col("n"))).select("row", "key")
+    alike = active.filter(F.col("held") >= F.greatest(F.lit(2.0), 0.3 * (1 - percent / 100) * F.col("n"))).select("row", "key", "weight")
     links = stored(first_links(alike, place, texts, size, percent), "links")
     so_far = components(links)
-    labelled = active.join(so_far.withColumnRenamed("node", "row"), "row", "left").select("row", "n", "key", F.coalesce("component", "row").alias("label"))
+    labelled = active.join(so_far.withColumnRenamed("node", "row"), "row", "left").select("row", "n", "key", "weight", F.coalesce("component", "row").alias("label"))
     more = stored(later_links(postings.drop("n"), labelled, place, texts, size, percent), "links")
     found = components(links.union(more))
     node = classes.join(found.withColumnRenamed("node", "row"), "row", "left").select("hi", "lo", "least", F.coalesce("component", "row").alias("component"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,9 @@ KEEP = {
 def bounded_batches(spark: SparkSession) -> None:
     """Hand texts to Python in batches bounded by bytes, so that long texts do not pile up in one worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
+    home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):  # workers find this package wherever the driver was started
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (home, env.get("PYTHONPATH"))))
 
 
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
