@@ -127,7 +127,7 @@ def pack(documents: DataFrame, common: np.ndarray, buckets: int, window: int, ru
             a, b, bucket = a[by], b[by], bucket[by]
             begin, end, data = words.start[at[a]].tolist(), words.end[at[b] + window - 1].tolist(), words.data
             edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist()
-            zip_ = zstandard.ZstdCompressor(level=1)
+            zip_ = zstandard.ZstdCompressor(level=3)
             for x, y in zip(edges[:-1], edges[1:]):
                 blob = zip_.compress(b"\n".join([data[s:e] for s, e in zip(begin[x:y], end[x:y])]))
                 t = text[a[x:y]]
@@ -138,7 +138,7 @@ def pack(documents: DataFrame, common: np.ndarray, buckets: int, window: int, ru
             [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), cat(2), cat(3), cat(4), cat(5)],
             ["bucket", "packed", "doc", "mark", "low", "high"])
 
-    return per_batch(documents, fn, "bucket long, packed binary, doc array<bigint>, mark array<bigint>, low array<bigint>, high array<bigint>")
+    return per_batch(documents, fn, "bucket long, packed binary, doc array<bigint>, mark array<bigint>, low array<bigint>, high array<bigint>", together=2)
 
 
 def settle(table: pa.Table, window: int) -> pa.Table:

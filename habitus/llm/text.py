@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from habitus.session import scratch
 
 U64 = np.uint64
-BYTES_PER_BATCH = 4 << 20  # of text that a Python worker holds at once, unless one text is longer
+BYTES_PER_BATCH = 2 << 20  # of text that a Python worker holds at once, unless one text is longer
 SEGMENT = 1 << 20  # word bytes hashed at once
 
 #: Bytes that are part of a word, by kind: anything but white space; letters and digits; letters (bytes over 127 count).
@@ -33,14 +34,14 @@ def bounded_batches(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (home, env.get("PYTHONPATH"))))
 
 
-def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Apply fn to every bounded Arrow batch of df."""
+def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, together: int = 1) -> DataFrame:
+    """Apply fn to every bounded Arrow batch of df, or to so many of them together."""
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+        filled = (b for b in batches if b.num_rows)
+        while some := list(islice(filled, together)):
+            yield from fn(some[0] if len(some) == 1 else pa.Table.from_batches(some).combine_chunks().to_batches()[0])
 
     return df.mapInArrow(run, schema)
 
@@ -114,8 +115,8 @@ class Words:
         buf = self.buf.copy()
         buf[self.end] = 32  # a byte follows every word, as a line feed ends each text
         take = np.zeros(len(buf) + 1, np.int8)
-        np.add.at(take, self.start[keep], 1)
-        np.add.at(take, self.end[keep] + 1, -1)
+        take[self.start[keep]] = 1
+        take[self.end[keep] + 1] -= 1  # where the next word starts at once, the two cancel out
         mask = np.cumsum(take[:-1], dtype=np.int8).view(bool)
         out, ends = buf[mask].tobytes(), np.concatenate([[0], np.cumsum(mask)])[self.text_start]
         return [out[a : max(a, b - 1)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
