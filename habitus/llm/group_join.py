@@ -25,8 +25,8 @@ SHINGLE, PERCENT = 4, 85
 COUNTED_PERCENT, COUNTED_MORE = 25, 4  # of each text's tokens in the order of hashes, those whose frequency is counted
 LEAST_COMMON = 4  # a token counted so often is common,
 COMMON = 1 << 20  # unless there are more of them than these (8 MB): then only the most frequent are
-PART = 64  # texts of a group that are opened together
-QUERIES = 128  # queries that one task compares with an opened group
+PART = 256  # texts of a group that are opened together
+QUERIES = 256  # queries that one task compares with an opened group
 
 
 def token_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
