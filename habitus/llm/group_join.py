@@ -222,17 +222,19 @@ def later_links(postings: DataFrame, texts: DataFrame, place: DataFrame, documen
     return work.groupBy("group", "salt").applyInArrow(lambda t: link_queries(t, size, percent), "a long, b long")
 
 
-def link_components(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id, the least doc_id that links reach.
+def keyed(documents: DataFrame, *more: str) -> DataFrame:
+    """doc and mark, which tell rows apart by id and text, beside doc_id, text and other columns."""
+    return documents.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("doc"), F.xxhash64("text").alias("mark"), "text", *more)
 
-    Null and empty texts have no shingles and stay alone. Rows with equal ids are documents of their own that share the id;
-    a null id is the least only where a component has no other.
-    """
-    docs = documents.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("doc"), F.xxhash64("text").alias("mark"), "text")
+
+def link(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """One row a document (doc_id, doc, mark, n, hi, lo), and one a class of equal sets: hi, lo, its component, and the
+    class's first document as (null id?, doc, mark)."""
+    docs = keyed(documents)
     rows = stored(sets(docs, common_tokens(docs, size), size, percent).withColumn("row", F.monotonically_increasing_id()), "sets")
     some, texts = rows.filter("n > 0"), docs.select("doc", "mark", "text")
     # classes of equal sets; one row stands for each
-    classes = stored(some.groupBy("hi", "lo").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "classes")
+    classes = stored(some.groupBy("hi", "lo").agg(F.min("row").alias("row"), F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc", "mark")).alias("least")), "classes")
     tokens = some.select(F.explode("prefix").alias("token"), "row", "n", "hi")
     shared = tokens.groupBy("token").agg(F.min("hi").alias("x"), F.max("hi").alias("y"), F.count("*").alias("often")).filter("x < y").select("token", "often")
     postings = stored(tokens.select("token", "row", "n").join(shared, "token").join(classes.select("row"), "row", "left_semi"), "postings")
@@ -246,9 +248,33 @@ def link_components(documents: DataFrame, size: int = SHINGLE, percent: int = PE
     labelled = active.join(so_far.withColumnRenamed("node", "row"), "row", "left").select("row", "n", "key", "weight", F.coalesce("component", "row").alias("label"))
     more = stored(later_links(postings.drop("n"), labelled, place, texts, size, percent), "links")
     found = components(links.union(more))
-    node = classes.join(found.withColumnRenamed("node", "row"), "row", "left").select("hi", "lo", "least", F.coalesce("component", "row").alias("component"))
-    least = node.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = node.join(least, "component").select("hi", "lo", "component_id")
+    return rows, classes.join(found.withColumnRenamed("node", "row"), "row", "left").select("hi", "lo", "least", F.coalesce("component", "row").alias("component"))
+
+
+def link_components(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id, the least doc_id that links reach.
+
+    Null and empty texts have no shingles and stay alone. Rows with equal ids are documents of their own that share the id;
+    a null id is the least only where a component has no other.
+    """
+    rows, node = link(documents, size, percent)
+    least = node.groupBy("component").agg(F.min("least").alias("first"))
+    kind = rows.schema["doc_id"].dataType
+    first = F.when(~F.col("first.null"), F.col("first.doc")).cast(kind)
+    by_class = node.join(least, "component").select("hi", "lo", first.alias("component_id"))
     joined = rows.select("doc_id", "n", "hi", "lo").join(by_class.withColumn("any", F.lit(True)), ["hi", "lo"], "left")
     alone = F.col("any").isNull() | (F.col("n") == 0)
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def first_of_each(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of documents that stay if one of each component does: the one with the least id. Rows without shingles stay."""
+    rows, node = link(documents, size, percent)
+    first = node.groupBy("component").agg(F.min("least").alias("first")).select("first.doc", "first.mark", F.lit(False).alias("empty"))
+    stay = first.union(rows.filter("n = 0").select("doc", "mark", F.lit(True)).distinct())
+    # the names of other columns may clash with ours
+    inside = {c: f"other_{i}" for i, c in enumerate(documents.columns) if c not in ("doc_id", "text")}
+    docs = keyed(documents.toDF(*(inside.get(c, c) for c in documents.columns)), *inside.values())
+    once = F.when(F.col("empty"), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    kept = docs.join(stay, ["doc", "mark"]).withColumn("once", once).dropDuplicates(["doc", "mark", "once"])
+    return kept.select(*(F.col(inside.get(c, c)).alias(c) for c in documents.columns))

@@ -4,7 +4,7 @@ Every language has a table of its frequent words and of character n-grams. A kno
 language. An unknown word is cut into n-grams of MOST characters, its edges marked; if none of them was seen, shorter ones
 are taken. The language with the highest total wins; of equal ones, the first in order of its name.
 
-The model is fitted on a bounded sample: of the labelled rows, the SAMPLE of each language with the lowest hash. It holds
+The model is fitted on a bounded sample: of the labelled rows, about SAMPLE of each language, those with the lowest hashes. It holds
 WORDS words a language and 2^BUCKET_BITS hashed n-grams a length, so its size is bounded too. Predictions read all texts.
 """
 
@@ -123,12 +123,11 @@ class Model:
 
 
 def sample(rows: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """Of each language the rows with the lowest hash; the hashes are chosen without moving any text."""
-    key = F.xxhash64("doc_id", F.octet_length("text"))
-    keyed = rows.filter("text IS NOT NULL AND lang IS NOT NULL").withColumn("key", key)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    limit = keyed.select("lang", "key").withColumn("place", place).filter(F.col("place") <= most).groupBy("lang").agg(F.max("key").alias("limit"))
-    return keyed.join(limit, "lang").filter("key <= limit").select("lang", "text")
+    """Of each language the rows whose hash is low enough that about `most` are left. No text moves for it."""
+    labelled = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
+    share = labelled.groupBy("lang").agg((F.lit(float(most)) / F.count("*")).alias("share"))
+    key = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1 << 30)) / (1 << 30)
+    return labelled.join(F.broadcast(share), "lang").filter(key < F.col("share")).select("lang", "text")  # a row a language, as in the model
 
 
 def fit(rows: DataFrame, most: int = SAMPLE, words: int = WORDS) -> Model:
@@ -150,8 +149,8 @@ def fit(rows: DataFrame, most: int = SAMPLE, words: int = WORDS) -> Model:
     return Model(langs, known, share(tally, 0).astype(np.float32), grams.sum(axis=2) > 0, share(grams, 1).astype(np.float32), np.log((total + 1) / (total.sum() + len(langs))))
 
 
-def predict(documents: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Add lang_pred and score (0 to 1) to the columns in keep.
+def predict(documents: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add the language and its score (0 to 1), under two names, to the columns in keep.
 
     Null texts, and texts without a letter, are `und` with score 0, as is everything if no language was learned.
     """
@@ -172,10 +171,10 @@ def predict(documents: DataFrame, model: Model, text: str = "text", keep: tuple[
             best, score = np.array(m.langs, object)[at], odds[np.arange(len(at)), at] / odds.sum(axis=1)
         ok = letters & (best != None)  # noqa: E711
         pred = pa.array([b if o else "und" for b, o in zip(best.tolist(), ok.tolist())], pa.string())
-        yield pa.record_batch([*batch.columns[: len(keep)], pred, pa.array(np.where(ok, score, 0.0))], [*keep, "lang_pred", "score"])
+        yield pa.record_batch([*batch.columns[: len(keep)], pred, pa.array(np.where(ok, score, 0.0))], [*keep, *names])
 
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return per_batch(documents.select(*keep, text), run, f"{kinds}, lang_pred string, score double")
+    return per_batch(documents.select(*keep, text), run, f"{kinds}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out_predictions(documents: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from habitus.llm import bpe, brown_lm, decontaminate, group_join, importance, language_id, mpeg_audio, superkmer, token_store
+from habitus.llm import bpe, brown_lm, decontaminate, group_join, importance, language_id, mpeg_audio, pii, superkmer, token_store
 from habitus.llm.text import stored
 from habitus.session import prepare, scratch
 
@@ -119,3 +119,8 @@ def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
