@@ -13,6 +13,7 @@ import functools
 import hashlib
 import heapq
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -76,27 +77,45 @@ def transitions() -> tuple[np.ndarray, np.ndarray]:
     return step, starts
 
 
+@functools.cache
+def monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All functions that sequences of symbols make of the states, numbered: the composition table (first, then second),
+    the number of each symbol's function, and where each function takes state 0. Few differ, as most forget the state."""
+    step, _ = transitions()
+    functions: dict[bytes, int] = {bytes(range(8)): 0}
+    order = [bytes(range(8))]
+    for f in order:
+        for g in step:
+            if (h := bytes(g[list(f)])) not in functions:
+                functions[h] = len(order)
+                order.append(h)
+    table = np.frombuffer(b"".join(order), np.uint8).reshape(-1, 8)
+    compose = np.array([[functions[bytes(g[f])] for g in table] for f in table], np.uint16)
+    return compose, np.array([functions[bytes(g)] for g in step], np.uint16), table[:, 0].copy()
+
+
 def scan(symbols: np.ndarray, step: np.ndarray) -> np.ndarray:
     """The state before every symbol, from state 0, by composing transition functions block by block."""
     n = len(symbols)
     lanes = -(-n // BLOCK)
     grid = np.full(lanes * BLOCK, S_END, np.uint8)
     grid[:n] = symbols
-    grid = grid.reshape(lanes, BLOCK).T.copy()
-    flat = step.reshape(-1)
-    whole = np.tile(np.arange(8, dtype=np.uint8), (lanes, 1))  # of each lane: the function from its first to its last state
-    for row in grid:
-        whole = flat[(row.astype(np.uint16)[:, None] << 3) + whole]
-    entry, prefix, width = np.zeros(lanes, np.uint8), whole, 1
+    grid = grid.reshape(lanes, BLOCK).T.astype(np.uint16)
+    compose, of_symbol, image = monoid()
+    size, flat = len(compose), compose.reshape(-1)
+    single = of_symbol[grid]
+    whole = single[0] * 1  # of each lane: the function from its first to its last state
+    for row in single[1:]:
+        whole = flat[whole * np.uint16(size) + row]
+    prefix, width = whole, 1
     while width < lanes:  # inclusive scan over the lanes by doubling
-        ahead = prefix.copy()
-        ahead[width:] = np.take_along_axis(prefix[width:], prefix[:-width].astype(np.intp), axis=1)
-        prefix, width = ahead, width * 2
-    entry[1:] = prefix[:-1, 0]
-    out = np.empty((BLOCK, lanes), np.uint8)
-    for k, row in enumerate(grid):
+        prefix, width = np.concatenate([prefix[:width], flat[prefix[:-width] * np.uint16(size) + prefix[width:]]]), width * 2
+    entry = np.zeros(lanes, np.uint8)
+    entry[1:] = image[prefix[:-1]]
+    out, flat, base = np.empty((BLOCK, lanes), np.uint8), step.reshape(-1), grid << 3
+    for k, row in enumerate(base):
         out[k] = entry
-        entry = flat[(row.astype(np.uint16) << 3) + entry]
+        entry = flat[row + entry]
     return out.T.reshape(-1)[:n]
 
 
@@ -205,7 +224,7 @@ class SliceCache:
         total = self.used + int(size.sum())
         if total > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.empty(total + len(self.ids), np.int32)])
-        self.ids[self.used : total] = np.fromiter((i for x in got for i in x), np.int32, total - self.used)
+        self.ids[self.used : total] = np.fromiter(chain.from_iterable(got), np.int32, total - self.used)
         self.place.update(zip(pieces, range(len(self.start) - 1, len(self.start) - 1 + len(pieces))))
         self.start = np.concatenate([self.start, self.used + np.cumsum(size)])
         self.used = total
@@ -213,15 +232,14 @@ class SliceCache:
     def __call__(self, data: bytes, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all slices in order, and the number of ids of each slice."""
         b = border.tolist()
-        pieces = [data[x:y] for x, y in zip(b[:-1], b[1:])]
+        pieces = [data[x:y] for x, y in zip(b, b[1:])]
         if len(self.place) > self.most or self.used > 8 * self.most:
             self.clear()
-        at = list(map(self.place.get, pieces))
-        if None in at:
-            missing = [*dict.fromkeys(p for p, i in zip(pieces, at) if i is None)]
-            self.add(missing)
-            at = list(map(self.place.__getitem__, pieces))
-        row = np.array(at, np.int64)
+        row = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(new := np.flatnonzero(row < 0)):
+            missing = [pieces[i] for i in new.tolist()]
+            self.add([*dict.fromkeys(missing)])
+            row[new] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(missing))
         size = (self.start[1:] - self.start[:-1])[row]
         return gather(self.ids, self.start[row], size), size
 

@@ -25,14 +25,44 @@ END = 2
 ROW_GROUP = 8 << 20  # bytes
 PAGE = 64 << 10  # bytes
 ROWS_PER_FILE = 50_000
+JOINED = 512  # slices that go through the library as one text
 
 
 @functools.cache
 def library_cache(path: str) -> SliceCache:
-    """Slices go through the tokenizers library once each; equal slices have equal ids wherever they stand."""
+    """Slices go through the tokenizers library once each; equal slices have equal ids wherever they stand.
+
+    Most are a space and letters. Such slices are joined to long texts, as each call has a price: the library cuts them at
+    the spaces again, and a token that starts with a space starts a slice.
+    """
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return SliceCache(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)])
+    opens = np.zeros(tokenizer.get_vocab_size(), bool)
+    space = tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]  # how the vocabulary writes a space
+    opens[[i for t, i in tokenizer.get_vocab().items() if t[0] == space]] = True
+
+    def alone(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(pieces: list[bytes]) -> list[list[int]]:
+        texts = [p.decode() for p in pieces]
+        plain = [i for i, t in enumerate(texts) if t[0] == " " and t[1:].isalpha()]
+        out: list[list[int]] = [[]] * len(texts)
+        for some in (plain[k : k + JOINED] for k in range(0, len(plain), JOINED)):
+            ids = alone(["".join([texts[i] for i in some])])[0]
+            cuts = np.flatnonzero(opens[ids]).tolist()
+            if len(cuts) != len(some):  # not cut at the spaces only
+                cut = alone([texts[i] for i in some])
+            else:
+                cut = [ids[x:y] for x, y in zip(cuts, [*cuts[1:], len(ids)])]
+            for i, x in zip(some, cut):
+                out[i] = x
+        other = sorted(set(range(len(texts))) - set(plain))
+        for i, x in zip(other, alone([texts[i] for i in other])):
+            out[i] = x
+        return out
+
+    return SliceCache(encode)
 
 
 def tokenize(df: DataFrame, column: str = "text", tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:

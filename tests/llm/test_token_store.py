@@ -4,8 +4,10 @@ import glob
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
+from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from habitus.llm import queries, token_store as T
@@ -57,3 +59,18 @@ def test_awkward_rows(spark, tmp_path):
     assert [g[0] for g in got] == [sum(lengths[:i]) for i in range(6)]
     T.write(df.limit(0), f"{tmp_path}/none")
     assert T.report(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_ids_equal_the_library_around_every_codepoint():
+    cache = T.library_cache(public_tokenizers.path(T.TOKENIZER))
+    for start in range(0, 0x110000, 0x8000):
+        text = "".join(f"a{chr(c)} {chr(c)}b 1" for c in range(start, start + 0x8000) if not 0xD800 <= c < 0xE000)
+        ids, _ = T.encode_texts([text.encode()], cache)
+        assert ids.tolist() == library([text])[0][:-1]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab é\u0301ß's\t\n1字-", max_size=30), max_size=6))
+def test_ids_equal_the_library(texts):
+    ids, n = T.encode_texts([t.encode() for t in texts], T.library_cache(public_tokenizers.path(T.TOKENIZER)))
+    assert [r.tolist() for r in np.split(ids, np.cumsum(n))[:-1]] == [x[:-1] for x in library(texts)]
