@@ -184,7 +184,7 @@ def joined(items: Column, sep: str, last: str) -> Column:
 def evidence() -> list[tuple[Column, Column, Column]]:
     """(predicate, noun phrase, verb phrase) of the non-amount evidence, in narrative order."""
     night, rare_hour = value("is_night") >= 1, value("hour_rarity") > 0.9
-    count = F.greatest(F.round(F.expm1(F.greatest(value("vel_3m"), value("vel_1m")))).cast("int"), F.lit(2)).cast("string")
+    count = F.greatest(F.rint(F.expm1(F.greatest(value("vel_3m"), value("vel_1m")))).cast("int"), F.lit(2)).cast("string")
 
     def text(t: str) -> Column:
         return F.lit(t)

@@ -50,7 +50,8 @@ def largest_sets(member_rows: DataFrame, key: str = "customer_key") -> dict[str,
 def fit_baseline(train: DataFrame, half_life: float = DEFAULTS.half_life_days, as_of: Column | None = None, key: str = "customer_key") -> DataFrame:
     """Per customer: weighted amount statistics, undecayed maximum and normalised hour and weekday histograms.
 
-    The weighted spread uses deviations from the weighted mean; both come from three sums, so one pass suffices.
+    Weights are summed per amount first, so a customer who pays one amount often is one row from then on. The spread is
+    taken around the finished mean; customers with a single amount have none, and get 1.
     """
     as_of = as_of if as_of is not None else train.agg(F.max("ts")).scalar()
     rows = train.withColumn("w", decay_weight(days_between(as_of, "ts"), half_life))
@@ -59,12 +60,13 @@ def fit_baseline(train: DataFrame, half_life: float = DEFAULTS.half_life_days, a
     days = [F.sum(F.when(F.weekday("ts") == d, w).otherwise(0.0)).alias(f"_d{d}") for d in range(7)]
     agg = rows.groupBy(key).agg(
         F.count("*").alias("n"), F.sum(w).alias("_sw"), (F.sum(w * a) / F.sum(w)).alias("amt_mean"),
-        (F.sum(w * a * a) / F.sum(w)).alias("_sq"), F.max(a).alias("amt_max"), *hours, *days)
-    spread = F.sqrt(F.greatest(F.col("_sq") - F.col("amt_mean") * F.col("amt_mean"), F.lit(0.0)))
-    # differences below the rounding error of the squares are no spread at all
-    noise = F.when(spread < 1e-6 * F.abs("amt_mean"), 0.0).otherwise(spread)
-    out = agg.select(
-        key, "n", "amt_mean", F.coalesce(F.nullif(noise, F.lit(0.0)), F.lit(1.0)).alias("amt_std"), "amt_max",
+        F.min(a).alias("_least"), F.max(a).alias("amt_max"), *hours, *days)
+    amounts = rows.groupBy(key, "amount").agg(F.sum("w").alias("_w"))
+    gap = F.col("amount") - F.col("amt_mean")
+    around = amounts.join(agg.select(key, "amt_mean", "_sw"), key).groupBy(key).agg(
+        F.sqrt(F.sum(F.col("_w") * gap * gap) / F.first("_sw")).alias("_spread"))
+    out = agg.join(around, key, "left").select(
+        key, "n", "amt_mean", F.when(F.col("_least") < F.col("amt_max"), F.col("_spread")).otherwise(1.0).alias("amt_std"), "amt_max",
         F.transform(F.array(*[f"_h{h}" for h in range(24)]), lambda v: v / F.col("_sw")).alias("hour_hist"),
         F.transform(F.array(*[f"_d{d}" for d in range(7)]), lambda v: v / F.col("_sw")).alias("dow_hist"))
     middle = weighted_quantiles(
@@ -108,12 +110,16 @@ def psi(ref: Column, cur: Column, eps: float = 1e-6) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def baseline_view(base: DataFrame, sizes: DataFrame, known: DataFrame, key: str = "customer_key") -> DataFrame:
-    """Readable view of learned baselines: rounded amounts, busiest hours and days, set sizes and samples."""
+def baseline_view(base: DataFrame, sizes: DataFrame, known: DataFrame, key: str = "customer_key", locations: int | None = None) -> DataFrame:
+    """Readable view of learned baselines: rounded amounts, busiest hours and days, set sizes and members.
+
+    A display may ask for the first few `locations` only; their full number is beside them.
+    """
+    places = F.coalesce("locs", F.array().cast("array<string>"))
     return base.join(sizes, key, "left").join(known, key, "left").select(
         key, *[F.round(f"amt_{n}", 2).alias(n) for n in ("median", "mean", "p95", "max", "std")],
         top_buckets("hour_hist").alias("usual_hours"), top_buckets("dow_hist", labels=WEEKDAYS).alias("usual_days"),
-        F.slice(F.coalesce("locs", F.array().cast("array<string>")), 1, 20).alias("known_locations"), F.coalesce("n_benefs", F.lit(0)).alias("known_beneficiaries"),
+        (places if locations is None else F.slice(places, 1, locations)).alias("known_locations"), F.coalesce("n_locs", F.lit(0)).alias("n_locations"), F.coalesce("n_benefs", F.lit(0)).alias("known_beneficiaries"),
         F.coalesce("types", F.array().cast("array<string>")).alias("known_types"), F.coalesce("n_ips", F.lit(0)).alias("known_subnets"))
 
 

@@ -51,11 +51,11 @@ def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def ecdf_rank(df: DataFrame, score: str) -> DataFrame:
-    """Share of rows at or below each row's score: the exact training-set form of the normaliser."""
-    counts = df.groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("n"))
+    """Share of scored rows at or below each row's score: the exact training-set form of the normaliser. No score, no share."""
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("n"))
     ranks = running_sums(counts, "_s", ["n"], resolution=FINE)
     shares = ranks.select("_s", ((F.col("n_before") + F.col("n")) / F.col("n_total")).alias("ecdf"))
-    return df.join(shares, df[score] == shares["_s"]).drop("_s")
+    return df.join(shares, df[score] == shares["_s"], "left").drop("_s")
 
 
 def fit_quantiles(df: DataFrame, score: str, n: int = 1001) -> DataFrame:

@@ -48,29 +48,18 @@ def cross_border(origin: str = "origin_country", destination: str = "destination
     return flag((o != "") & (d != "") & (F.lower(F.trim(o)) != F.lower(F.trim(d))))
 
 
-def with_novelty(df: DataFrame, member_rows: DataFrame, key: str = "customer_key", array_limit: int = 4096) -> DataFrame:
+def with_novelty(df: DataFrame, member_rows: DataFrame, key: str = "customer_key") -> DataFrame:
     """Add the five novelty flags: the customer has a learned set, the row has a value, and the set lacks it.
 
-    Sets whose measured largest size is within `array_limit` travel as arrays on one join by customer. A larger set
-    is looked up with a join on (customer, value), which spreads even one customer's lookups over the cluster.
+    Members are looked up by (customer, value), which spreads even one customer's lookups over the cluster.
     """
-    largest = B.largest_sets(member_rows, key)
-    small = [k for k in NOVELTY if largest.get(k, 0) <= array_limit]
-    values = B.set_values()
-    out = df.join(B.set_sizes(member_rows, key), key, "left")
-    if small:
-        out = out.join(B.member_arrays(member_rows, small, key), key, "left")
-    known = {}
+    values, out, known = B.set_values(), df.join(B.set_sizes(member_rows, key), key, "left"), {}
     for kind in NOVELTY:
-        if kind in small:
-            known[kind] = F.array_contains(kind, values[kind])
-        else:
-            big = member_rows.where(F.col("kind") == kind).select(key, F.col("value").alias(f"_v_{kind}"), F.lit(True).alias(f"_in_{kind}"))
-            out = out.withColumn(f"_v_{kind}", values[kind]).join(big, [key, f"_v_{kind}"], "left")
-            known[kind] = F.coalesce(f"_in_{kind}", F.lit(False))
+        learned = member_rows.where(F.col("kind") == kind).select(key, F.col("value").alias(f"_v_{kind}"), F.lit(True).alias(f"_in_{kind}"))
+        out = out.withColumn(f"_v_{kind}", values[kind]).join(learned, [key, f"_v_{kind}"], "left")
+        known[kind] = F.coalesce(f"_in_{kind}", F.lit(False))
     flags = {name: flag((F.col(f"n_{k}") > 0) & values[k].isNotNull() & ~known[k]) for k, name in NOVELTY.items()}
-    extra = [c for k in NOVELTY if k not in small for c in (f"_v_{k}", f"_in_{k}")]
-    return out.withColumns(flags).drop(*small, *extra, *[f"n_{k}" for k in NOVELTY])
+    return out.withColumns(flags).drop(*(c for k in NOVELTY for c in (f"_v_{k}", f"_in_{k}", f"n_{k}")))
 
 
 def entity_median(df: DataFrame, key: str = "customer_key") -> DataFrame:
@@ -79,8 +68,12 @@ def entity_median(df: DataFrame, key: str = "customer_key") -> DataFrame:
 
 
 def with_velocity(df: DataFrame, key: str = "customer_key", median: DataFrame | None = None) -> DataFrame:
-    """Add velocity, hourly spend and recency features; the median defaults to that of the frame itself."""
+    """Add velocity, hourly spend and recency features; the median defaults to that of the frame itself.
+
+    The raw hourly spend and the usual amount stay as spent_1h and usual, for those who change the amount afterwards.
+    """
     counted = V.velocity(df, key).join(median if median is not None else entity_median(df, key), key, "left")
+    counted = counted.withColumns({"spent_1h": F.col("spend_1h"), "usual": F.coalesce(F.nullif(F.col("frame_median"), F.lit(0.0)), F.lit(1.0))})
     return V.velocity_features(counted, F.col("frame_median")).drop("frame_median")
 
 
@@ -92,7 +85,7 @@ def with_population(df: DataFrame, population: DataFrame) -> DataFrame:
 
 def transform(
     txn: DataFrame, base: DataFrame, member_rows: DataFrame, population: DataFrame, graph: DataFrame | None = None,
-    keep: tuple[str, ...] = (), median: DataFrame | None = None, array_limit: int = 4096,
+    keep: tuple[str, ...] = (), median: DataFrame | None = None,
 ) -> DataFrame:
     """Feature matrix of a transaction table: keys, `keep`, the features in contract order and the cold-start flag.
 
@@ -101,7 +94,7 @@ def transform(
     rows = with_velocity(txn, median=median)
     rows = with_population(rows, population).join(base.drop("n"), "customer_key", "left")
     rows = rows.withColumns(amount_features() | time_features() | {"cross_border": cross_border(), "is_cold_start": F.col("amt_max").isNull()})
-    rows = with_novelty(rows, member_rows, array_limit=array_limit)
+    rows = with_novelty(rows, member_rows)
     rows = G.with_graph(rows, graph) if graph is not None else rows.withColumns({c: F.lit(0.0) for c in FEATURES[-3:]})
     finite = {f: F.when(F.isnan(f) | F.col(f).isin(float("inf"), float("-inf")), 0.0).otherwise(F.coalesce(f, F.lit(0.0))) for f in FEATURES}
     return rows.select("customer_key", "transaction_id", *keep, "is_cold_start", *[c.alias(f) for f, c in finite.items()])

@@ -52,9 +52,10 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], keep_null
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    w = Window.partitionBy(*keys).orderBy(*order)
-    firsts = (df.where(known) if keep_null_keys else df).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    return firsts.unionByName(df.where(~known)) if keep_null_keys else firsts
+    own = [F.when(~known, F.monotonically_increasing_id()).alias("_own")] if keep_null_keys else []  # a key of its own
+    numbered = df.select("*", *own)
+    w = Window.partitionBy(*keys, *(["_own"] if own else [])).orderBy(*order)
+    return numbered.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_own")
 
 
 def dedup(df: DataFrame, keys: list[str], order: tuple[str, ...] = ORDER, keep_null_keys: bool = False) -> DataFrame:

@@ -160,7 +160,8 @@ def geo_precision(log: DataFrame) -> DataFrame:
     return stats.join(quantiles(rows, "metres", {"median_m": 0.5}, ("geo_source",)), "geo_source")
 
 
-def plus_code_sample(cache: DataFrame, eligible: DataFrame, least: int = 2, top: int = 400) -> DataFrame:
-    """Eligible customers whose locations carry a code, most first: the report's top `top`."""
+def plus_code_sample(cache: DataFrame, eligible: DataFrame, least: int = 2, top: int | None = None) -> DataFrame:
+    """Eligible customers whose locations carry a code, most first; a report may ask for the first `top`."""
     coded = cache.where(F.col("customer_location").contains("+")).join(eligible.select("customer_key"), "customer_key", "left_semi")
-    return coded.groupBy("customer_key").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "customer_key").limit(top)
+    out = coded.groupBy("customer_key").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "customer_key")
+    return out if top is None else out.limit(top)

@@ -295,10 +295,13 @@ def bump_version(new: DataFrame, prev: DataFrame, keys: tuple[str, ...] = ("enti
 
 
 def detect_drift(new: DataFrame, prev: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """Compare each profile with its previous build: amount jump, other main city, new country."""
+    """Compare each profile with its previous build: amount jump, other main city, new country.
+
+    A previous profile that has no drift status yet is not compared.
+    """
     old = prev.select(
         "entity_key", F.col("decayed_avg_amount").alias("_avg"), F.col("usual_cities").alias("_cities"),
-        F.col("usual_countries").alias("_countries"), F.lit(True).alias("_known"))
+        F.col("usual_countries").alias("_countries"), F.col("drift_status").isNotNull().alias("_known"))
     both = new.join(old, "entity_key", "left")
 
     def main_value(m: str) -> Column:

@@ -180,7 +180,8 @@ LOGROWS = """lg AS (SELECT event_id, CAST(ts AS DATE) AS day, event_type AS stat
 @query("s15_inference_log", with_(LOGROWS) + "SELECT CAST(event_id AS VARCHAR) AS transaction_id, CAST(day AS VARCHAR) AS day, status, risk_score, geo_source, kmh FROM lg")
 def s15(spark, d):
     path = scratch(spark, "log")
-    J.write_inference_log(J.log_rows(event_stream_table(spark, d)), path)
+    for _ in range(2):  # the second time stands for a repeated run
+        J.write_inference_log(J.log_rows(event_stream_table(spark, d)), path, "run1")
     return J.read_inference_log(spark, path).select("transaction_id", F.col("day").cast("string").alias("day"), "status", "risk_score", F.col("geo.geo_source").alias("geo_source"), F.col("geo.geo_velocity_kmh").alias("kmh"))
 
 
@@ -193,7 +194,8 @@ def s16(spark, d):
 def s17(spark, d):
     path = scratch(spark, "trail")
     rows = event_stream_table(spark, d).select(F.col("customer_key").alias("entity_key"), F.lit(None).cast("string").alias("transaction_id"), "ts", F.col("category").alias("outcome"), F.struct("amount").alias("detail"))
-    K.append_events(rows, "score", path)
+    for _ in range(2):  # the second time stands for a repeated run
+        K.append_events(rows, "score", path, "run1")
     return spark.read.parquet(path).select("entity_key", "event_type", "outcome", "detail")
 
 

@@ -111,10 +111,10 @@ def wq_sql(q: float, name: str) -> str:
 
 
 MIDS = """mids AS (SELECT customer_key, amount, (sum(w) OVER (PARTITION BY customer_key ORDER BY amount, ts, id, version ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY customer_key) AS mid FROM tw)"""
-BASELINE = f"""base AS (SELECT customer_key, n, amt_mean, CASE WHEN var <= 0 OR sqrt(greatest(var, 0)) < 1e-6 * abs(amt_mean) THEN 1.0 ELSE sqrt(var) END AS amt_std, amt_max, amt_median, amt_p95, hh, dh FROM
-  (SELECT customer_key, count(*) AS n, sum(w * amount) / sum(w) AS amt_mean, sum(w * amount * amount) / sum(w) - pow(sum(w * amount) / sum(w), 2) AS var, max(amount) AS amt_max,
+BASELINE = f"""base AS (SELECT customer_key, n, amt_mean, CASE WHEN least = amt_max THEN 1.0 ELSE sqrt(var) END AS amt_std, amt_max, amt_median, amt_p95, hh, dh FROM
+  (SELECT customer_key, count(*) AS n, sum(w * amount) / sum(w) AS amt_mean, sum(w * (amount - mean) * (amount - mean)) / sum(w) AS var, min(amount) AS least, max(amount) AS amt_max,
    [{', '.join(f'coalesce(sum(w) FILTER (WHERE hour(ts) = {h}), 0) / sum(w)' for h in range(24))}] AS hh,
-   [{', '.join(f'coalesce(sum(w) FILTER (WHERE isodow(ts) - 1 = {i}), 0) / sum(w)' for i in range(7))}] AS dh FROM tw GROUP BY 1)
+   [{', '.join(f'coalesce(sum(w) FILTER (WHERE isodow(ts) - 1 = {i}), 0) / sum(w)' for i in range(7))}] AS dh FROM tw JOIN (SELECT customer_key, sum(w * amount) / sum(w) AS mean FROM tw GROUP BY 1) USING (customer_key) GROUP BY 1)
   JOIN {wq_sql(0.5, 'amt_median')} USING (customer_key) JOIN {wq_sql(0.95, 'amt_p95')} USING (customer_key))"""
 
 
@@ -322,7 +322,8 @@ def j12(spark, d):
 
 
 @query("x25_baseline_view", with_(*MODEL_BASE, TW, MIDS, BASELINE, MEMBERS) + """SELECT customer_key, round(amt_median, 2) AS median, round(amt_mean, 2) AS mean, round(amt_max, 2) AS max,
-  (SELECT list_sort(list(value))[1:20] FROM mem WHERE mem.customer_key = base.customer_key AND kind = 'locs') AS known_locations,
+  (SELECT list_sort(list(value)) FROM mem WHERE mem.customer_key = base.customer_key AND kind = 'locs') AS known_locations,
+  (SELECT count(*) FROM mem WHERE mem.customer_key = base.customer_key AND kind = 'locs') AS n_locations,
   (SELECT count(*) FROM mem WHERE mem.customer_key = base.customer_key AND kind = 'benefs') AS known_beneficiaries,
   (SELECT list_sort(list(value)) FROM mem WHERE mem.customer_key = base.customer_key AND kind = 'types') AS known_types,
   (SELECT count(*) FROM mem WHERE mem.customer_key = base.customer_key AND kind = 'ips') AS known_subnets FROM base""")
@@ -330,7 +331,7 @@ def x25(spark, d):
     train = training(spark, d)
     rows = B.members(train)
     view = B.baseline_view(B.fit_baseline(train), B.set_sizes(rows), B.member_arrays(rows, ["locs", "types"]))
-    return view.select("customer_key", "median", "mean", "max", "known_locations", "known_beneficiaries", "known_types", "known_subnets")
+    return view.select("customer_key", "median", "mean", "max", "known_locations", "n_locations", "known_beneficiaries", "known_types", "known_subnets")
 
 
 TWO = with_(*MODEL_BASE, PAST, TW, MIDS, BASELINE) + f""", cur AS (SELECT * FROM base), ptw AS ({TW_PAST.split(' AS (', 1)[1][:-1]}), pm AS ({MIDS.split(' AS (', 1)[1][:-1].replace('FROM tw', 'FROM ptw')}),

@@ -144,7 +144,7 @@ def o15_precision(spark, d):
 
 
 @query("o16_plus_code_sample", with_(*MODEL_BASE) + """SELECT customer_key, count(*) AS n FROM (SELECT customer_key, concat(customer_location, CASE WHEN amount > 50000 THEN ' GGVW+VH' ELSE '' END) AS loc FROM valid)
-WHERE loc LIKE '%+%' AND customer_key IN (SELECT customer_key FROM eligible) GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, customer_key LIMIT 400""")
+WHERE loc LIKE '%+%' AND customer_key IN (SELECT customer_key FROM eligible) GROUP BY 1 HAVING count(*) >= 2""")
 def o16(spark, d):
     from habitus.plans.normalisation import FIXTURE_ML
     valid = L.validate(transactions(spark, d))

@@ -359,23 +359,25 @@ def two_builds(spark, d):
         return base.join(maps, "entity_key", "left").select(
             *base.columns, F.coalesce("usual_merchants", empty).alias("usual_cities"), F.coalesce("usual_merchants", empty).alias("usual_countries"))
 
-    return build(earlier(clean)), build(clean)
+    # a previous build before mid-1999 counts as one without a drift status yet
+    status = F.when(F.col("last_seen") >= F.expr("TIMESTAMP '1999-06-01'"), "none")
+    return build(earlier(clean)).withColumn("drift_status", status), build(clean)
 
 
 DRIFT = f"""oldm AS (SELECT max(ts) AS old_as_of FROM clean WHERE ts < {CUT}),
 b AS (SELECT entity_key, sum(w * amount) / sum(w) AS davg, count(*) AS total FROM aged GROUP BY 1),
-pb AS (SELECT entity_key, sum(pw * amount) / sum(pw) AS davg, count(*) AS total FROM (SELECT entity_key, amount,
+pb AS (SELECT entity_key, sum(pw * amount) / sum(pw) AS davg, count(*) AS total, max(ts) AS pseen FROM (SELECT entity_key, amount, ts,
   pow(0.5::DOUBLE, (epoch_us(old_as_of) - epoch_us(ts)) / 86400000000.0::DOUBLE / 90.0::DOUBLE) AS pw FROM clean, oldm WHERE ts < {CUT}) GROUP BY 1),
 mv AS (SELECT entity_key, merchant_name AS v, count(*) AS n FROM clean GROUP BY 1, 2 HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY entity_key ORDER BY n DESC, v) <= 15),
 pmv AS (SELECT entity_key, merchant_name AS v, count(*) AS n FROM clean WHERE ts < {CUT} GROUP BY 1, 2 HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY entity_key ORDER BY n DESC, v) <= 15),
 s AS (SELECT entity_key, list(v ORDER BY n DESC, v) AS vs FROM mv GROUP BY 1), ps AS (SELECT entity_key, list(v ORDER BY n DESC, v) AS vs FROM pmv GROUP BY 1),
-j AS (SELECT b.entity_key, b.davg, pb.davg AS pdavg, s.vs, ps.vs AS pvs, pb.entity_key IS NOT NULL AS known,
+j AS (SELECT b.entity_key, b.davg, pb.davg AS pdavg, pseen, s.vs, ps.vs AS pvs, pb.entity_key IS NOT NULL AS known,
   list_sort(list_filter(coalesce(s.vs, []), lambda x: NOT list_contains(ps.vs, x))) AS fresh
   FROM b LEFT JOIN pb USING (entity_key) LEFT JOIN s USING (entity_key) LEFT JOIN ps USING (entity_key)),
-r AS (SELECT entity_key, known, nullif(array_to_string(list_filter([
+r AS (SELECT entity_key, known, CASE WHEN pseen >= TIMESTAMP '1999-06-01' THEN nullif(array_to_string(list_filter([
   CASE WHEN pdavg > 0 AND abs(davg - pdavg) / pdavg >= 0.5 THEN format('amount {{}} {{:.0f}}%', CASE WHEN davg > pdavg THEN 'up' ELSE 'down' END, abs(davg - pdavg) / pdavg * 100) END,
   CASE WHEN vs[1] <> pvs[1] THEN concat('main city ', pvs[1], '->', vs[1]) END,
-  CASE WHEN len(pvs) > 0 AND len(fresh) > 0 THEN concat('new country ', array_to_string(fresh[1:2], ',')) END], lambda x: x IS NOT NULL), '; '), '') AS drift_reason FROM j)"""
+  CASE WHEN len(pvs) > 0 AND len(fresh) > 0 THEN concat('new country ', array_to_string(fresh[1:2], ',')) END], lambda x: x IS NOT NULL), '; '), '') END AS drift_reason FROM j)"""
 
 
 @query("x15_drift", BASE + f", {DRIFT} SELECT entity_key, drift_reason, CASE WHEN drift_reason IS NULL THEN 'none' ELSE 'sudden' END AS drift_status FROM r")

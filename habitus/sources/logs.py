@@ -22,9 +22,9 @@ def log_rows(events: DataFrame) -> DataFrame:
         F.to_date("ts").alias("day"))
 
 
-def write_inference_log(df: DataFrame, path: str) -> None:
-    """Append log records, one folder per day."""
-    df.write.mode("append").partitionBy("day").json(path)
+def write_inference_log(df: DataFrame, path: str, run: str) -> None:
+    """Add the log records of one run, one folder per day and run; a repeated run replaces its own records."""
+    df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run").json(path)
 
 
 def read_inference_log(spark: SparkSession, path: str) -> DataFrame:

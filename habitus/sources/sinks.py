@@ -40,7 +40,7 @@ def run_lineage(source: DataFrame, profiles: DataFrame, run_id: str) -> DataFram
     return window.join(written, "_one").select(F.lit(run_id).alias("run_id"), "window_start", "window_end", "source_rows", "entities", F.lit("done").alias("status"))
 
 
-def append_events(df: DataFrame, event_type: str, path: str) -> None:
-    """Append to the event trail, one folder per day; `detail` is stored as JSON."""
-    df.select("entity_key", "transaction_id", F.lit(event_type).alias("event_type"), "outcome", F.to_json("detail").alias("detail"), "ts", F.to_date("ts").alias("day")
-              ).write.mode("append").partitionBy("day").parquet(path)
+def append_events(df: DataFrame, event_type: str, path: str, run: str) -> None:
+    """Add one run's events to the trail, one folder per day and run; a repeated run replaces its own. `detail` becomes JSON."""
+    df.select("entity_key", "transaction_id", F.lit(event_type).alias("event_type"), "outcome", F.to_json("detail").alias("detail"), "ts", F.to_date("ts").alias("day"), F.lit(run).alias("run")
+              ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run").parquet(path)

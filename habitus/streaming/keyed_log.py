@@ -30,7 +30,9 @@ class KeyedLog:
         """All log rows a reader needs: the newest snapshot and what came after it; None while nothing is stored."""
         try:
             table = self.spark.read.parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # anything else is a fault, not an empty log
+                raise
             return None
         table = table.where(F.col("batch") < before) if before is not None else table
         base = table.where("kind = 'snap'").agg(F.max("batch")).first()[0]

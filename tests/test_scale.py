@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from habitus.config import VELOCITY_MINUTES
 from habitus.operators import features as X, filters as L, ordered as O, velocity as V
-from habitus.operators.evaluate import average_precision, roc_auc
+from habitus.operators.evaluate import average_precision, ecdf_rank, roc_auc
+from habitus.operators.forest import tree_samples
 from habitus.plans.modelling import split
 from habitus.operators import baseline as B
 from tests.conftest import SF_DIR
@@ -82,12 +83,45 @@ def test_first_row_per_key_is_cut_before_the_shuffle(hot):
     assert plan.count("WindowGroupLimit") == 2 and plan.index("Exchange") < plan.rindex("WindowGroupLimit")
 
 
-def test_novelty_by_array_and_by_join_agree(spark):
+def test_novelty_against_sets(spark):
     train, txn = split(spark, SF_DIR)
     members = B.members(train)
-    small = X.with_novelty(txn, members).select("transaction_id", *X.NOVELTY.values())
-    big = X.with_novelty(txn, members, array_limit=0).select("transaction_id", *X.NOVELTY.values())
-    assert small.exceptAll(big).count() == 0 and small.count() == big.count()
+    sets: dict[tuple, set] = {}
+    for r in members.collect():
+        sets.setdefault((r["customer_key"], r["kind"]), set()).add(r["value"])
+    values = B.set_values()
+    rows = X.with_novelty(txn, members).select("customer_key", *[values[k].alias(f"v_{k}") for k in X.NOVELTY], *X.NOVELTY.values()).collect()
+    for r in rows:
+        for kind, name in X.NOVELTY.items():
+            known = sets.get((r["customer_key"], kind), set())
+            assert r[name] == float(bool(known) and r[f"v_{kind}"] is not None and r[f"v_{kind}"] not in known)
+    assert len(rows) == txn.count()
+
+
+def test_spread_of_large_amounts(spark):
+    rows = [("a", 1e9 + (500 if i % 2 else -500), i) for i in range(40)] + [("b", 77.7, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "customer_key string, amount double, id long").withColumns(
+        {"ts": F.lit("2024-01-01").cast("timestamp"), "version": F.lit(0)})
+    got = {r["customer_key"]: r["amt_std"] for r in B.fit_baseline(df).collect()}
+    assert got["a"] == pytest.approx(500, abs=1e-4) and got["b"] == 1.0
+
+
+def test_ecdf_keeps_rows_without_a_score(spark):
+    got = ecdf_rank(spark.createDataFrame([(1, 0.5), (2, None), (3, 0.7)], "id int, s double"), "s").collect()
+    assert {r["id"]: r["ecdf"] for r in got} == {1: 0.5, 2: None, 3: 1.0}
+
+
+@pytest.mark.parametrize("rows", [300, 5000])
+def test_every_bag_is_full(spark, rows):
+    bags = tree_samples(spark.range(rows), F.col("id"), 40, 256, 7, rows).groupBy("tree").agg(F.countDistinct("id").alias("n")).collect()
+    assert len(bags) == 40 and {b["n"] for b in bags} == {256}
+
+
+def test_rows_without_a_key_are_all_kept_in_one_pass(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 3)], "k string, v int")
+    out = L.first_per_key(df, ["k"], [F.col("v")], keep_null_keys=True)
+    assert sorted((r["k"] or "", r["v"]) for r in out.collect()) == [("", 3), ("", 3), ("a", 1)]
+    assert out._jdf.queryExecution().executedPlan().toString().count("LogicalRDD") <= 1
 
 
 def test_auc_with_ties(spark):
