@@ -13,7 +13,7 @@ import functools
 import hashlib
 import heapq
 from collections.abc import Callable
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import public_tokenizers
@@ -208,7 +208,10 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class SliceCache:
-    """Ids of slices in one growing array; encode turns missing slices into ids. It starts anew once it is full."""
+    """Ids of slices in one growing array; encode turns missing slices into ids.
+
+    Once it is full it keeps its oldest part, as frequent slices come early.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = CACHE):
         self.encode, self.most = encode, most
@@ -218,6 +221,14 @@ class SliceCache:
         self.place: dict[bytes, int] = {}
         self.ids, self.start, self.used = np.empty(1 << 16, np.int32), np.zeros(1, np.int64), 0
 
+    def shrink(self) -> None:
+        keep = self.most // 3
+        if self.start[min(keep, len(self.start) - 1)] > 4 * self.most:  # long slices fill it
+            return self.clear()
+        self.place = dict(islice(self.place.items(), keep))  # in order of arrival
+        self.start = self.start[: len(self.place) + 1].copy()
+        self.used = int(self.start[-1])
+
     def add(self, pieces: list[bytes]) -> None:
         got = self.encode(pieces)
         size = np.fromiter(map(len, got), np.int64, len(got))
@@ -234,7 +245,7 @@ class SliceCache:
         b = border.tolist()
         pieces = [data[x:y] for x, y in zip(b, b[1:])]
         if len(self.place) > self.most or self.used > 8 * self.most:
-            self.clear()
+            self.shrink()
         row = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
         if len(new := np.flatnonzero(row < 0)):
             missing = [pieces[i] for i in new.tolist()]

@@ -66,3 +66,13 @@ def test_rows_null_repeated_and_empty(spark):
     part = bpe.token_slice(enc.filter("doc_id = 3").limit(1), 1, 3).first()
     whole = LIBRARY.encode_ordinary("don't  stop")
     assert part.ids == whole[1:3] and b"don't  stop"[part.byte_start:part.byte_end] == LIBRARY.decode_bytes(whole[1:3])
+
+
+def test_a_full_cache_keeps_giving_the_same_ids():
+    rng = random.Random(6)
+    cache = bpe.SliceCache(lambda pieces: [bpe.merge(p, bpe.load_ranks(PATH)) for p in pieces], most=60)
+    for _ in range(40):
+        text = " ".join(str(rng.randrange(200)) + rng.choice(["", "=" * 70, "abc"]) for _ in range(60))
+        ids, _ = bpe.encode_texts([text.encode()], cache)
+        assert ids.tolist() == LIBRARY.encode_ordinary(text)
+    assert len(cache.place) < 400
