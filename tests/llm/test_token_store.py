@@ -1,5 +1,6 @@
 """Token store: ids equal the library's, positions and checksums come from the files, the files are laid out as asked."""
 
+import functools
 import glob
 import struct
 import zlib
@@ -14,9 +15,15 @@ from habitus.llm import queries, token_store as T
 from tests.conftest import SF_DIR
 
 
-def library(texts):
+@functools.cache
+def tokenizer():
     t = Tokenizer.from_file(public_tokenizers.path(T.TOKENIZER))
     t.encode_special_tokens = True
+    return t
+
+
+def library(texts):
+    t = tokenizer()
     return [e.ids + [2] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
