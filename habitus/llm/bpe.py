@@ -284,8 +284,9 @@ def encode_texts(texts: list[bytes], cache: SliceCache) -> tuple[np.ndarray, np.
     return ids, np.diff(total[first])
 
 
-def encode(df: DataFrame, column: str = "text", ranks: str = RANKS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Add ids and offsets (the byte where each token ends) to the columns in keep.
+def encode(df: DataFrame, column: str = "text", ranks: str = RANKS, keep: tuple[str, ...] = ("doc_id",), verify: str | None = None) -> DataFrame:
+    """Add ids and offsets (the byte where each token ends) to the columns in keep; and, if verify names a column, whether
+    decoding the ids gives the text back.
 
     Null and empty texts give empty lists; repeated rows give equal lists; other columns are left out, so none can clash.
     """
@@ -293,14 +294,21 @@ def encode(df: DataFrame, column: str = "text", ranks: str = RANKS, keep: tuple[
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batch: pa.RecordBatch):
-        ids, n = encode_texts(raw(batch.column(len(keep))), rank_cache(path))
+        texts = raw(batch.column(len(keep)))
+        ids, n = encode_texts(texts, rank_cache(path))
         size = vocabulary(path)[2][ids]
         stop = np.cumsum(size)
         base = np.concatenate([[0], stop])[np.cumsum(n) - n]
         offsets = (stop - np.repeat(base, n)).astype(np.int64)
-        yield pa.record_batch([*batch.columns[: len(keep)], lists(ids, n), lists(offsets, n)], [*keep, "ids", "offsets"])
-
-    return per_batch(df.select(*keep, column), run, f"{kinds}, ids array<int>, offsets array<bigint>")
+        columns, names = [*batch.columns[: len(keep)], lists(ids, n), lists(offsets, n)], [*keep, "ids", "offsets"]
+        if verify:
+            data, size = decode_ids(ids, n, path)
+            stop = np.cumsum(size)
+            same = [data[a:b].tobytes() == t for a, b, t in zip((stop - size).tolist(), stop.tolist(), texts)]
+            columns, names = [*columns, pa.array(same, pa.bool_())], [*names, verify]
+        yield pa.record_batch(columns, names)
+
+    return per_batch(df.select(*keep, column), run, f"{kinds}, ids array<int>, offsets array<bigint>" + (f", `{verify}` boolean" if verify else ""))
 
 
 def decode_ids(ids: np.ndarray, counts: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:

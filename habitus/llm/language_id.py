@@ -10,6 +10,7 @@ WORDS words a language and 2^BUCKET_BITS hashed n-grams a length, so its size is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,12 +30,11 @@ def lowered(column: pa.Array) -> list[bytes]:
     return [(t or "").lower().encode() for t in column.to_pylist()]
 
 
-def ngrams(words: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For every length the buckets of all n-grams of the words, and the word of each."""
+def ngrams(words: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """From the longest on, each length with the buckets of all n-grams of the words, and the word of each."""
     points = np.frombuffer(("_" + "_".join(w.decode("utf-8", "replace") for w in words) + "_").encode("utf-32-le"), np.uint32).astype(U64)
     edge = points == U64(EDGE)
-    owner = np.cumsum(edge) - 1  # an edge belongs to the word behind it
-    out = {}
+    owner = (np.cumsum(edge) - 1).astype(np.int32)  # an edge belongs to the word behind it
     for n in range(MOST, 0, -1):
         total = len(points) - n + 1
         if total <= 0:
@@ -47,8 +47,7 @@ def ngrams(words: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         if n == 2:
             ok &= ~(edge[:total] & edge[1:])
         at = np.flatnonzero(ok)
-        out[n] = (mix(h[at]) >> U64(64 - BUCKET_BITS)).astype(np.int64), owner[at]
-    return out
+        yield n, (mix(h[at]) >> U64(64 - BUCKET_BITS)).astype(np.int32), owner[at]
 
 
 def counts(rows: DataFrame) -> DataFrame:
@@ -64,7 +63,7 @@ def counts(rows: DataFrame) -> DataFrame:
                 continue
             h, first, n = np.unique(words.hash[at], return_index=True, return_counts=True)
             found = [(0, h.view(np.int64), n)]
-            for length, (bucket, owner) in ngrams(words.words(at[first])).items():
+            for length, bucket, owner in ngrams(words.words(at[first])):
                 total = np.bincount(bucket, weights=n[owner])
                 code = np.flatnonzero(total)
                 found.append((length, code, total[code].astype(np.int64)))
@@ -108,7 +107,7 @@ class Model:
     def unknown(self, words: list[bytes]) -> np.ndarray:
         """Scores of unknown words: the mean of their longest n-grams that were seen anywhere."""
         out, left = np.zeros((len(words), len(self.langs))), np.ones(len(words), bool)
-        for n, (bucket, owner) in ngrams(words).items():
+        for n, bucket, owner in ngrams(words):
             use = left[owner] & self.seen[n - 1][bucket]
             bucket, owner = bucket[use], owner[use]
             number = np.bincount(owner, minlength=len(words))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 from collections.abc import Callable, Iterable, Iterator
@@ -34,6 +35,13 @@ def bounded_batches(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (home, env.get("PYTHONPATH"))))
 
 
+def release() -> None:
+    """Give freed memory back to the system, as workers wait for the next task while others need it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, together: int = 1) -> DataFrame:
     """Apply fn to every bounded Arrow batch of df, or to so many of them together."""
     bounded_batches(df.sparkSession)
@@ -42,6 +50,7 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
         filled = (b for b in batches if b.num_rows)
         while some := list(islice(filled, together)):
             yield from fn(some[0] if len(some) == 1 else pa.Table.from_batches(some).combine_chunks().to_batches()[0])
+        release()
 
     return df.mapInArrow(run, schema)
 
