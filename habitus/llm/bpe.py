@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from habitus.llm.text import lists, per_batch, raw
 
 RANKS = "byte_bpe_50k.tiktoken"
-CACHE = 1 << 19  # slices whose ids a worker remembers
+CACHE = 3 << 18  # slices whose ids a worker remembers
 LONG_SLICE = 64  # bytes; longer slices are merged anew each time and never kept
 BLOCK = 256  # codepoints that one lane of the scan reads
 
@@ -32,6 +32,7 @@ LETTER, NUMBER, WHITE, OTHER = range(4)
 # Symbols: a class, or a class in its place. BLANK is a space that the next slice takes in, LONE another white space before
 # a visible character, RUN white space before white space or the end; TWO and THREE start a contraction of that length.
 S_LETTER, S_NUMBER, S_OTHER, S_TWO, S_THREE, S_BLANK, S_LONE, S_RUN, S_END = range(9)
+FRESH = 9  # added to a symbol that begins a text: whatever came before is forgotten
 # States: nothing open; inside letters, numbers, others or white space; after a BLANK; 1 or 2 contraction letters to come.
 NOTHING, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, AFTER_BLANK, ONE_MORE, TWO_MORE = range(8)
 
@@ -74,7 +75,8 @@ def transitions() -> tuple[np.ndarray, np.ndarray]:
         go(S_LONE, NOTHING)
         go(S_RUN, IN_WHITE, state != IN_WHITE)
         go(S_END, NOTHING)
-    return step, starts
+    fresh = np.repeat(step[:, :1], 8, axis=1)
+    return np.concatenate([step, fresh]), np.concatenate([starts, np.ones((9, 8), bool)])
 
 
 @functools.cache
@@ -94,29 +96,32 @@ def monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return compose, np.array([functions[bytes(g)] for g in step], np.uint16), table[:, 0].copy()
 
 
-def scan(symbols: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """The state before every symbol, from state 0, by composing transition functions block by block."""
+def scan(symbols: np.ndarray) -> np.ndarray:
+    """Whether a slice starts at each symbol, from state 0, by composing transition functions block by block."""
     n = len(symbols)
     lanes = -(-n // BLOCK)
-    grid = np.full(lanes * BLOCK, S_END, np.uint8)
+    grid = np.full(lanes * BLOCK, S_END, np.intp)
     grid[:n] = symbols
-    grid = grid.reshape(lanes, BLOCK).T.astype(np.uint16)
+    grid = grid.reshape(lanes, BLOCK).T.copy()
     compose, of_symbol, image = monoid()
-    size, flat = len(compose), compose.reshape(-1)
-    single = of_symbol[grid]
-    whole = single[0] * 1  # of each lane: the function from its first to its last state
-    for row in single[1:]:
-        whole = flat[whole * np.uint16(size) + row]
+    size = len(compose)
+    flat = compose.reshape(-1).astype(np.intp) * size  # a function's number times size, so that an addition finds the next
+    single = of_symbol.astype(np.intp)
+    whole = single[grid[0]] * size  # of each lane: the function from its first to its last state
+    for row in grid[1:]:
+        whole = flat.take(whole + single.take(row))
     prefix, width = whole, 1
     while width < lanes:  # inclusive scan over the lanes by doubling
-        prefix, width = np.concatenate([prefix[:width], flat[prefix[:-width] * np.uint16(size) + prefix[width:]]]), width * 2
-    entry = np.zeros(lanes, np.uint8)
-    entry[1:] = image[prefix[:-1]]
-    out, flat, base = np.empty((BLOCK, lanes), np.uint8), step.reshape(-1), grid << 3
-    for k, row in enumerate(base):
-        out[k] = entry
-        entry = flat[row + entry]
-    return out.T.reshape(-1)[:n]
+        prefix, width = np.concatenate([prefix[:width], flat.take(prefix[:-width] + prefix[width:] // size)]), width * 2
+    state = np.zeros(lanes, np.intp)
+    state[1:] = image[prefix[:-1] // size]
+    step, starts = (x.reshape(-1) for x in transitions())
+    step, opens = step.astype(np.intp), np.empty((BLOCK, lanes), bool)
+    for k, row in enumerate(grid):
+        at = (row << 3) + state
+        opens[k] = starts.take(at)
+        state = step.take(at)
+    return opens.T.reshape(-1)[:n]
 
 
 def slices(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -127,7 +132,7 @@ def slices(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     data = b"".join(texts)
     size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     buf = np.frombuffer(data, np.uint8)
-    lead = np.flatnonzero((buf & 0xC0) != 0x80)  # the first byte of each codepoint
+    lead = np.flatnonzero(buf.view(np.int8) > -65)  # the first byte of each codepoint; the others are 0x80 to 0xBF
     points = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
     text_start = np.concatenate([[0], np.cumsum(size)])
     ends = np.searchsorted(lead, text_start[1:])  # codepoints up to the end of each text
@@ -137,7 +142,7 @@ def slices(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     after[ends[ends > 0] - 1] = WHITE  # a text ends as white space would, with nothing visible behind
     kind = kind[:-1]
     symbols = np.array([S_LETTER, S_NUMBER, S_RUN, S_OTHER], np.uint8)[kind]
-    last = (kind == WHITE) & (after != WHITE)
+    last = np.flatnonzero((kind == WHITE) & (after != WHITE))
     symbols[last] = np.where(points[last] == 0x20, S_BLANK, S_LONE)
     quote = np.flatnonzero(points == 0x27)
     if len(quote):
@@ -148,13 +153,8 @@ def slices(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
         for a, b in ("re", "ve", "ll"):
             pair |= (one == ord(a)) & (two == ord(b)) & (room > 2)
         symbols[quote[pair]], symbols[quote[short]] = S_THREE, S_TWO
-    filled = size > 0
-    stops = ends[filled]
-    symbols = np.insert(symbols, stops, S_END)
-    step, starts = transitions()
-    opens = starts.reshape(-1)[(symbols.astype(np.uint16) << 3) + scan(symbols, step)]
-    opens = np.delete(opens, stops + np.arange(len(stops)))
-    border = lead[opens]
+    symbols[np.concatenate([[0], ends[:-1]])[size > 0]] += FRESH
+    border = lead[scan(symbols)]
     return data, np.concatenate([border, [len(data)]]), np.searchsorted(border, text_start)
 
 
@@ -207,13 +207,19 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def merge_all(pieces: list[bytes], ranks: dict[bytes, int]) -> tuple[list[int], list, list]:
+    got = [merge(p, ranks) for p in pieces]
+    counts = np.fromiter(map(len, got), np.int64, len(got))
+    return list(range(len(pieces))), [np.fromiter(chain.from_iterable(got), np.int32, int(counts.sum()))], [counts]
+
+
 class SliceCache:
     """Ids of slices in one growing array; encode turns missing slices into ids.
 
     Once it is full it keeps its oldest part, as frequent slices come early.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = CACHE):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[list[int], list, list]], most: int = CACHE):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -229,28 +235,35 @@ class SliceCache:
         self.start = self.start[: len(self.place) + 1].copy()
         self.used = int(self.start[-1])
 
-    def add(self, pieces: list[bytes]) -> None:
-        got = self.encode(pieces)
-        size = np.fromiter(map(len, got), np.int64, len(got))
+    def add(self, pieces: list[bytes]) -> np.ndarray:
+        """Store new slices; their places in the cache."""
+        order, ids, counts = self.encode(pieces)  # ids and their counts may come in another order
+        size = np.concatenate(counts)
         total = self.used + int(size.sum())
         if total > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.empty(total + len(self.ids), np.int32)])
-        self.ids[self.used : total] = np.fromiter(chain.from_iterable(got), np.int32, total - self.used)
-        self.place.update(zip(pieces, range(len(self.start) - 1, len(self.start) - 1 + len(pieces))))
+        self.ids[self.used : total] = np.concatenate(ids)
+        at = len(self.start) - 1
+        self.place.update(zip(map(pieces.__getitem__, order), range(at, at + len(pieces))))
         self.start = np.concatenate([self.start, self.used + np.cumsum(size)])
         self.used = total
+        out = np.empty(len(pieces), np.int64)
+        out[order] = np.arange(at, at + len(pieces))
+        return out
 
     def __call__(self, data: bytes, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all slices in order, and the number of ids of each slice."""
-        b = border.tolist()
-        pieces = [data[x:y] for x, y in zip(b, b[1:])]
+        ends = pa.py_buffer(border.astype(np.int64))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(border) - 1, [None, ends, pa.py_buffer(data)]).dictionary_encode()
+        cut = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1].tolist()
+        once = coded.dictionary.buffers()[2].to_pybytes() if cut[-1] else b""
+        pieces = [once[x:y] for x, y in zip(cut, cut[1:])]  # each slice of the batch once
         if len(self.place) > self.most or self.used > 8 * self.most:
             self.shrink()
         row = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
         if len(new := np.flatnonzero(row < 0)):
-            missing = [pieces[i] for i in new.tolist()]
-            self.add([*dict.fromkeys(missing)])
-            row[new] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(missing))
+            row[new] = self.add([pieces[i] for i in new.tolist()])
+        row = row[coded.indices.to_numpy()]
         size = (self.start[1:] - self.start[:-1])[row]
         return gather(self.ids, self.start[row], size), size
 
@@ -264,7 +277,7 @@ def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
 @functools.cache
 def rank_cache(path: str) -> SliceCache:
     ranks = load_ranks(path)
-    return SliceCache(lambda pieces: [merge(p, ranks) for p in pieces])
+    return SliceCache(lambda pieces: merge_all(pieces, ranks))
 
 
 @functools.cache

@@ -25,7 +25,7 @@ END = 2
 ROW_GROUP = 8 << 20  # bytes
 PAGE = 64 << 10  # bytes
 ROWS_PER_FILE = 50_000
-JOINED = 512  # slices that go through the library as one text
+JOINED = 128  # slices that go through the library as one text
 
 
 @functools.cache
@@ -44,23 +44,23 @@ def library_cache(path: str) -> SliceCache:
     def alone(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(pieces: list[bytes]) -> list[list[int]]:
+    def encode(pieces: list[bytes]) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
         texts = [p.decode() for p in pieces]
         plain = [i for i, t in enumerate(texts) if t[0] == " " and t[1:].isalpha()]
-        out: list[list[int]] = [[]] * len(texts)
+        order, ids, counts, rest = [], [], [], [i for i, t in enumerate(texts) if not (t[0] == " " and t[1:].isalpha())]
         for some in (plain[k : k + JOINED] for k in range(0, len(plain), JOINED)):
-            ids = alone(["".join([texts[i] for i in some])])[0]
-            cuts = np.flatnonzero(opens[ids]).tolist()
-            if len(cuts) != len(some):  # not cut at the spaces only
-                cut = alone([texts[i] for i in some])
-            else:
-                cut = [ids[x:y] for x, y in zip(cuts, [*cuts[1:], len(ids)])]
-            for i, x in zip(some, cut):
-                out[i] = x
-        other = sorted(set(range(len(texts))) - set(plain))
-        for i, x in zip(other, alone([texts[i] for i in other])):
-            out[i] = x
-        return out
+            got = np.array(alone(["".join([texts[i] for i in some])])[0], np.int32)
+            cuts = np.flatnonzero(opens[got])
+            if len(cuts) == len(some):
+                order += some
+                ids.append(got)
+                counts.append(np.diff(cuts, append=len(got)))
+            else:  # not cut at the spaces only
+                rest += some
+        for x in alone([texts[i] for i in rest]):
+            ids.append(np.array(x, np.int32))
+            counts.append(np.array([len(x)]))
+        return order + rest, ids, counts
 
     return SliceCache(encode)
 

@@ -70,7 +70,7 @@ def test_rows_null_repeated_and_empty(spark):
 
 def test_a_full_cache_keeps_giving_the_same_ids():
     rng = random.Random(6)
-    cache = bpe.SliceCache(lambda pieces: [bpe.merge(p, bpe.load_ranks(PATH)) for p in pieces], most=60)
+    cache = bpe.SliceCache(lambda pieces: bpe.merge_all(pieces, bpe.load_ranks(PATH)), most=60)
     for _ in range(40):
         text = " ".join(str(rng.randrange(200)) + rng.choice(["", "=" * 70, "abc"]) for _ in range(60))
         ids, _ = bpe.encode_texts([text.encode()], cache)
