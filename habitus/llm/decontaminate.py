@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from habitus.llm.text import U64, Words, per_batch, raw, stored
+from habitus.llm.text import U64, Words, collected, per_batch, raw, stored
 
 WINDOW, SHINGLE = 10, 5
 BITS = 24  # of the bitmap: 2 MB, whatever the benchmark's size
@@ -63,7 +63,7 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     words = hashes.select(F.shiftrightunsigned("hash", 64 - BITS).alias("bit")).distinct()
     rows = words.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
     out = np.zeros(1 << (BITS - 6), np.int64)
-    got = rows.toPandas()
+    got = collected(rows)
     out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
     return out.view(U64)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from habitus.llm.components import components
-from habitus.llm.text import U64, Words, lists, mix, per_batch, raw, stored
+from habitus.llm.text import U64, Words, collected, lists, mix, per_batch, raw, stored
 from habitus.llm.superkmer import ranked
 
 SHINGLE, PERCENT = 4, 85
@@ -68,11 +68,11 @@ def common_tokens(documents: DataFrame, size: int) -> np.ndarray:
     step = F.floor(F.log("n") / F.log(F.lit(1.1)))
     counts = per_batch(documents.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COMMON)
     counts = stored(counts.withColumn("step", step), "tokens")
-    steps = counts.groupBy("step").agg(F.count("*").alias("tokens")).toPandas().sort_values("step", ascending=False)  # a few hundred rows
+    steps = collected(counts.groupBy("step").agg(F.count("*").alias("tokens"))).sort_values("step", ascending=False)  # a few hundred rows
     fits = steps[steps["tokens"].cumsum() <= COMMON]["step"]
     if not len(fits):
         return np.empty(0, U64)
-    return np.sort(counts.filter(F.col("step") >= int(fits.min())).select("token").toPandas()["token"].to_numpy(np.int64).view(U64))
+    return np.sort(collected(counts.filter(F.col("step") >= int(fits.min())).select("token"))["token"].to_numpy(np.int64).view(U64))
 
 
 def sets(documents: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from habitus.llm.text import U64, Words, mix, per_batch, raw, stored
+from habitus.llm.text import U64, Words, collected, mix, per_batch, raw, stored
 
 BUCKETS = 1 << 16
 LENGTH = 128
@@ -36,7 +36,7 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(n)
         yield pa.record_batch([pa.array(at), pa.array(n[at])], ["bucket", "n"])
 
-    got = per_batch(texts.select("text"), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = collected(per_batch(texts.select("text"), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
     out = np.zeros(BUCKETS)
     out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy()
     return out

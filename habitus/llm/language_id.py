@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from habitus.llm.text import U64, Words, mix, per_batch, remainder, stored
+from habitus.llm.text import U64, Words, collected, mix, per_batch, remainder, stored
 
 SAMPLE = 4000  # labelled rows a language
 WORDS = 50_000  # known words a language
@@ -133,7 +133,7 @@ def fit(rows: DataFrame, most: int = SAMPLE, words: int = WORDS) -> Model:
     """Fit from rows with doc_id, lang and text; rows without a language or text teach nothing."""
     table = stored(counts(sample(rows, most)), "language")
     place = F.row_number().over(Window.partitionBy("lang", "length").orderBy(F.desc("n"), "code"))
-    pdf = table.withColumn("place", place).filter((F.col("length") > 0) | (F.col("place") <= words)).drop("place").toPandas()
+    pdf = collected(table.withColumn("place", place).filter((F.col("length") > 0) | (F.col("place") <= words)).drop("place"))
     langs = sorted(pdf["lang"].unique().tolist())
     pdf["k"] = pdf["lang"].map({x: i for i, x in enumerate(langs)}).astype(np.int64)
     some = pdf[pdf["length"] == 0]

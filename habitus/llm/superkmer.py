@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from habitus.llm.text import U64, Words, lists, per_batch, raw, same_ranges, sha256, stored
+from habitus.llm.text import U64, Words, collected, lists, per_batch, raw, same_ranges, sha256, stored
 
 WINDOW, RUN = 20, 3
 COMMON = 1 << 14  # a run is common if it makes up one in so many; at most so many runs are
@@ -42,7 +42,7 @@ def common_runs(documents: DataFrame, size: int, kind: str = "space", lower: boo
 
     counts = stored(per_batch(documents.select(column), run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "runs")
     total = (counts.filter("hash IS NULL").agg(F.sum("n")).first()[0]) or 0
-    rows = counts.filter(F.col("hash").isNotNull() & (F.col("n") >= max(8, total * 3 // (4 * COMMON)))).select("hash").toPandas()
+    rows = collected(counts.filter(F.col("hash").isNotNull() & (F.col("n") >= max(8, total * 3 // (4 * COMMON)))).select("hash"))
     return np.sort(rows["hash"].to_numpy(np.int64).view(U64)), int(total)
 
 

@@ -10,6 +10,7 @@ from itertools import islice
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -174,6 +175,13 @@ def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
+def collected(df: DataFrame) -> pd.DataFrame:
+    """A table of proven size on the driver, by way of Arrow; what it took on the way is given back."""
+    out = df.toArrow().to_pandas()
+    release()
+    return out
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
