@@ -9,6 +9,7 @@ documents without the rest. The position of a document among all ids comes from
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -36,7 +37,6 @@ def library_cache(path: str) -> SliceCache:
     the spaces again, and a token that starts with a space starts a slice.
     """
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     opens = np.zeros(tokenizer.get_vocab_size(), bool)
     space = tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]  # how the vocabulary writes a space
     opens[[i for t, i in tokenizer.get_vocab().items() if t[0] == space]] = True
@@ -65,12 +65,45 @@ def library_cache(path: str) -> SliceCache:
     return SliceCache(encode)
 
 
+@functools.cache
+def added_tokens(path: str) -> tuple[re.Pattern[bytes] | None, dict[bytes, int]]:
+    """An expression that finds the tokenizer's added tokens, the longest first, and their ids; None if it has none."""
+    added = Tokenizer.from_file(path).get_added_tokens_decoder()
+    for token in added.values():
+        if token.single_word or token.lstrip or token.rstrip or token.normalized:
+            raise ValueError(f"added token {token.content!r} is not found by its plain text alone")
+    ids = {token.content.encode(): i for i, token in added.items()}
+    forms = map(re.escape, sorted(ids, key=len, reverse=True))
+    return re.compile(b"(" + b"|".join(forms) + b")") if ids else None, ids
+
+
+def encode_with_added(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of all texts, and the number of ids of each text.
+
+    As in the library, added tokens come first: texts are cut at them, and what lies between is encoded piece by piece.
+    """
+    form, known = added_tokens(path)
+    if form is None or not any(map(form.search, texts)):
+        return encode_texts(texts, library_cache(path))
+    pieces, pieces_of, token = [], [], []  # token: the added token behind each piece, -1 at the end of a text
+    for text in texts:
+        parts = form.split(text)
+        pieces += parts[0::2]
+        pieces_of.append(len(parts[0::2]))
+        token += [*map(known.__getitem__, parts[1::2]), -1]
+    ids, n = encode_texts(pieces, library_cache(path))
+    behind = np.array(token, np.int32)
+    some = behind >= 0
+    ids = np.insert(ids, np.cumsum(n)[some], behind[some])
+    return ids, np.add.reduceat(n + some, np.cumsum([0, *pieces_of[:-1]]))
+
+
 def tokenize(df: DataFrame, column: str = "text", tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
     """doc_id, n_tokens and ids of every row, the end id included. Null and empty texts have the end id alone."""
     path = public_tokenizers.path(tokenizer)
 
     def run(batch: pa.RecordBatch):
-        ids, n = encode_texts(raw(batch.column(1)), library_cache(path))
+        ids, n = encode_with_added(raw(batch.column(1)), path)
         ids = np.insert(ids, np.cumsum(n), end).astype(np.int32)
         yield pa.record_batch([batch.column(0), pa.array(n + 1), lists(ids, n + 1)], ["doc_id", "n_tokens", "ids"])
 

@@ -81,3 +81,15 @@ def test_ids_equal_the_library_around_every_codepoint():
 def test_ids_equal_the_library(texts):
     ids, n = T.encode_texts([t.encode() for t in texts], T.library_cache(public_tokenizers.path(T.TOKENIZER)))
     assert [r.tolist() for r in np.split(ids, np.cumsum(n))[:-1]] == [x[:-1] for x in library(texts)]
+
+
+def test_added_tokens_as_in_the_untouched_library(spark, tmp_path):
+    untouched = Tokenizer.from_file(public_tokenizers.path(T.TOKENIZER))
+    mark = "<|endoftext|>"
+    texts = [f"a{mark}b", mark, mark * 3, f"one  {mark}  two {mark}\n", f"<|endoftext{mark}|>", f"é{mark}字", "<|endoftext|", "", None, "plain text"]
+    T.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f"{tmp_path}/t")
+    want = [untouched.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    got = {r.doc_id: r.ids for r in T.read_tokens(spark, f"{tmp_path}/t", 0, len(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want and sum(x.count(50256) for x in want) == 9
+    start = {r.doc_id: r.start for r in T.report(spark, f"{tmp_path}/t").collect()}
+    assert [start[i] for i in range(len(texts))] == [sum(map(len, want[:i])) for i in range(len(texts))]
