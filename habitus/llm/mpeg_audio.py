@@ -13,6 +13,7 @@ import hashlib
 import struct
 import zlib
 from fractions import Fraction
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -119,20 +120,9 @@ def vbr_table(data: bytes, at: int, h: dict) -> dict | None:
     return None
 
 
-def parse(data: bytes) -> dict:
-    """Everything about one stream; empty or foreign bytes give no frames. Long streams cost a step a frame.
-
-    frames: (offset, header) of all audio frames; skipped: bytes passed over in search of a header; bad: failed checksums;
-    duration: exact seconds as a fraction.
-    """
-    begin, tags = id3v2(data)
-    stop = len(data)
-    if stop - 128 >= begin and data[stop - 128 : stop - 125] == b"TAG":
-        stop -= 128
-        tags = {"TIT2": data[stop + 3 : stop + 33].decode("latin-1").strip("\0 ")} | tags
-    if stop - 32 >= begin and data[stop - 32 : stop - 24] == b"APETAGEX":
-        stop -= min(stop - begin, int.from_bytes(data[stop - 20 : stop - 16], "little"))
-    frames, table, skipped, bad, checked, at, synced = [], None, 0, 0, 0, begin, None
+def walk(data: bytes, begin: int, stop: int) -> dict:
+    """All frames from begin to stop; spans are (offset, size) of every whole frame, that of the table included."""
+    frames, spans, table, skipped, bad, checked, at, synced = [], [], None, 0, 0, 0, begin, None
     while at + 4 <= stop:
         h = header(data, at)
         if h and (synced is None or not agree(h, synced)):
@@ -149,6 +139,7 @@ def parse(data: bytes) -> dict:
             skipped, at = skipped + step - at, step
             continue
         synced = h
+        spans.append((at, h["size"]))
         if h["protected"] and h["layer"] == 3:
             checked += 1
             bad += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h["side"]]) != int.from_bytes(data[at + 4 : at + 6], "big")
@@ -158,9 +149,34 @@ def parse(data: bytes) -> dict:
             frames.append((at, h))
         at += h["size"]
     skipped += stop - at if frames or table else 0
+    return {"spans": spans, "table": table, "frames": frames, "skipped": skipped, "bad": bad, "checked": checked}
+
+
+def parse(data: bytes) -> dict:
+    """Everything about one stream; empty or foreign bytes give no frames. Long streams cost a step a frame.
+
+    frames: (offset, header) of all audio frames; skipped: bytes passed over in search of a header; bad: failed checksums;
+    duration: exact seconds as a fraction. Bytes inside a whole frame are never a tag, whatever they say.
+    """
+    begin, tags = id3v2(data)
+    stop = len(data)
+    out = walk(data, begin, stop)
+
+    def framed(at: int) -> bool:
+        return any(a < at < a + n for a, n in takewhile(lambda s: s[0] + s[1] > at, reversed(out["spans"])))
+
+    if stop - 128 >= begin and data[stop - 128 : stop - 125] == b"TAG" and not framed(stop - 128):
+        stop -= 128
+        tags = {"TIT2": data[stop + 3 : stop + 33].decode("latin-1").strip("\0 ")} | tags
+    if stop - 32 >= begin and data[stop - 32 : stop - 24] == b"APETAGEX" and not framed(stop - 32):
+        stop -= min(stop - begin, int.from_bytes(data[stop - 20 : stop - 16], "little"))
+    if stop < len(data):
+        out = walk(data, begin, stop)
+    del out["spans"]
+    frames = out["frames"]
     time = sum((Fraction(n, hz) for n, hz in ((h["samples"], h["hertz"]) for _, h in frames)), Fraction(0)) if len({h["hertz"] for _, h in frames}) > 1 else (
         Fraction(sum(h["samples"] for _, h in frames), frames[0][1]["hertz"]) if frames else Fraction(0))
-    return {"tags": tags, "table": table, "frames": frames, "skipped": skipped, "bad": bad, "checked": checked, "duration": time}
+    return {"tags": tags} | out | {"duration": time}
 
 
 def seek(parsed: dict, sample: int) -> int | None:

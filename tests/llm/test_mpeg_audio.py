@@ -86,3 +86,23 @@ def test_rows(spark):
         assert r.payload_sha256 == __import__("hashlib").sha256(M.padded(text.encode())).hexdigest()
         assert r.tail_crc32 == zlib.crc32(M.padded(text.encode())[-32:]) and r.seconds == r.payload_bytes / 16000
     assert M.inspect(M.store(df.limit(0))).count() == 0
+
+
+def test_a_tag_inside_the_last_frame_is_payload():
+    for units in (1, 3):
+        for at in (504, 505, 506):
+            text = bytearray(b"x" * (units * 576))
+            text[at - 576 : at - 573] = b"TAG"  # 505: 128 bytes before the end of the stream
+            media = M.write_stream(bytes(text))
+            assert at != 505 or media[-128:-125] == b"TAG"
+            tagged = media + b"TAG" + b"name".ljust(125, b"\0")
+            for data in (media, tagged):
+                parsed = M.parse(data)
+                assert M.read_payload(data, parsed) == bytes(text) and len(parsed["frames"]) == units and parsed["skipped"] == parsed["bad"] == 0
+    lone = frame(9, b"x" * 253 + b"TAG")
+    assert lone[-128:-125] == b"TAG" and len(M.parse(lone)["frames"]) == 1 and not M.parse(lone)["tags"]
+    tagged = M.parse(frame(9) + b"TAG" + b"name".ljust(125, b"\0"))
+    assert len(tagged["frames"]) == 1 and tagged["tags"] == {"TIT2": "name"}
+    foot = b"APETAGEX" + struct.pack("<IIII", 2000, 32, 0, 0) + bytes(8)
+    assert len(M.parse(frame(9) * 3 + foot)["frames"]) == 3
+    assert len(M.parse(frame(9) * 2 + frame(9)[:-32] + foot)["frames"]) == 3
