@@ -9,6 +9,7 @@ from habitus.llm.text import remainder, stored
 from habitus.session import prepare
 
 KEY = "row_key"
+SHINGLE, PERCENT = 5, 80  # words a shingle, and the least similarity of near copies
 
 
 def fresh(docs: DataFrame, name: str) -> str:
@@ -36,7 +37,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links of similar texts hold together, the one with the least id stays."""
-    return group_join.first_of_each(docs)
+    return group_join.first_of_each(docs, SHINGLE, PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,30 @@ def test_empty_table_passes_every_stage(spark, awkward):
         assert stage(spark, awkward.limit(0), SF_DIR).count() == 0
     empty_text = C.drop_near_copies(spark, awkward.filter("doc_id IN (2, 3)").unionAll(awkward.filter("doc_id = 3")), SF_DIR)
     assert empty_text.count() == 3
+
+
+def near_copies_left(docs, size=5, percent=80):
+    """Ids that stay: the least of each group that links of Jaccard similarity over word shingles hold together."""
+    words = {i: t.lower().split() for i, t in docs}
+    sets = {i: {tuple(w[k:k + size]) for k in range(max(1, len(w) - size + 1))} for i, w in words.items()}
+    label = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if x == high else x for k, x in label.items()}
+    return sorted(i for i in label if label[i] == i)
+
+
+def test_near_copies_of_five_words_and_four_fifths_go(spark):
+    whole = [f"word{i}" for i in range(100)]
+    docs = [(1, " ".join(whole)), (2, " ".join(whole[:82])), (3, " ".join(whole[:80]))]  # 78/96 = 0.81; 76/96 = 0.79, but 76/78 of the second
+    docs += [(4, " ".join(f"other{i}" for i in range(100))), (5, " ".join(f"other{i}" for i in range(80)))]  # 76/96 = 0.79
+    long = [f"l{i}" for i in range(1000)]
+    for k, edits in ((7, 20), (8, 21), (9, 22)):
+        docs.append((k, " ".join(f"e{k}x{i}" if i % 45 == 7 and i // 45 < edits else w for i, w in enumerate(long))))
+    docs.append((6, " ".join(long)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = near_copies_left(docs)
+    assert sorted(r.doc_id for r in C.drop_near_copies(spark, df, SF_DIR).collect()) == want
+    assert 2 not in want and {1, 4, 5, 6} <= set(want)
