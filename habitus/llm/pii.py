@@ -32,8 +32,12 @@ FORMS = {
     "card": (r"[0-9]", r"(?<=[0-9])[ -](?=[0-9])", rf"[0-9][0-9{MARK}]+"),
     "phone": (r"\+[0-9]", None, r"\+[0-9][ ().0-9-]+[0-9]"),
 }
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"  # a token that may be an identifier
 EDGES = "[\\\"'(),.:;!?<>\\[\\]]"
+ADDRESS = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]"  # begins a token of its own
+# Between groups of digits stands a dot, a hyphen, a bracket or blanks; what follows blanks must be digits and separators alone.
+GROUP = rf"(?:\)?+(?:[.-]\(?+|(?: ?+-)?+ {{1,2}}+(?=\+?+\(?+[0-9][0-9().-]*+{EDGES}*+(?!\S))\(?+|\(?+)(?!{ADDRESS})[0-9]++)"
+#: A token that may be an identifier: groups of digits with separators between them, or a run without white space.
+TOKEN = rf"(?<!\S)(?:(?:{EDGES}|\+)*+[0-9]++{GROUP}++\S*+|[^\s0-9@]*+[0-9@]\S*+)"
 TRIM = f"^{EDGES}+|(?<!{EDGES}){EDGES}++$"
 SHORTEST = 6  # characters of an identifier that only its context gives away
 
@@ -112,6 +116,8 @@ def tokens(column: str = "text") -> Column:
     def fields(m: Column, p: Column, s: Column) -> Column:
         left = F.length(m) - F.length(F.regexp_replace(m, f"^{EDGES}+", ""))
         core = F.regexp_replace(m, TRIM, "")
+        opened = core.rlike(r"^\+?[0-9]++\)") & (F.substring(m, left, F.lit(1)) == "(")  # a bracket around the first group is its own
+        left, core = left - F.when(opened, 1).otherwise(0), F.when(opened, F.concat(F.lit("("), core)).otherwise(core)
         return span("", s + left, s + left + F.length(core), before(p), F.lower(core))
 
     return F.when(clean.rlike("[0-9@]"), spans_of(clean, TOKEN, lambda m: F.length(m) >= SHORTEST, fields)).otherwise(

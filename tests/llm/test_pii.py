@@ -97,3 +97,23 @@ def test_rows(spark):
     df = spark.createDataFrame([(None, "a@b.c"), (1, None), (2, "a@b.c"), (2, "a@b.c")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_email) for r in P.report(P.find(df)).collect()) == [(0, 1), (1, 0), (2, 1), (2, 1)]
     assert P.report(P.find(df.limit(0))).count() == 0
+
+
+def test_patterns_reveal_identifiers_written_with_blanks(spark):
+    texts = [f"Please call phone: +1 (632) 555-48{i:02d} today" for i in range(40)] + [f"the card: 4111 1111 1111 1111, {'x' * i}" for i in range(3)]
+    texts += [f"card: {n}" for n in range(4 * 10 ** 15, 4 * 10 ** 15 + 300) if fine("card", str(n))]
+    cases = [("my phone: 632 555 9911 now", "632 555 9911", "phone"), ("phone: (632) 555-4827.", "(632) 555-4827", "phone"), ("phone: (02)555 4827", "(02)555 4827", "phone"),
+             ("phone: 632.555.9912, 12 of us", "632.555.9912", "phone"), ("phone: 632-555-9913. 12 people", "632-555-9913", "phone"),
+             ("phone: (632 555 9914) é", "632 555 9914", "phone"), ("é phone: 632 - 555 - 9915 2nd floor", "632 - 555 - 9915", "phone"),
+             ("card: 4111 1111 1111 1112 x", "4111 1111 1111 1112", "card"), ("phone: 632-555-9916 10.0.0.1", "632-555-9916", "phone"),
+             ("phone: 632-555-9917 1a@b.co", "632-555-9917", "phone")]
+    got = found(spark, texts + [c[0] for c in cases] + ["room 632 555 9911", "phone: 12", "of 3 4 5 6 7 8"])
+    for i, (text, value, kind) in enumerate(cases, len(texts)):
+        at = text.index(value)
+        assert got[i][1] == [(kind, at, at + len(value))], text
+    assert not any(got[len(texts) + len(cases) + i][1] for i in range(1, 3))
+
+
+def test_hostile_runs_of_digits(spark):
+    texts = ["1 " * 60_000 + "x", "1 " * 60_000 + "1x", "(1) " * 40_000 + "é1", "1-" * 80_000, "1.1 " * 40_000, "1" * 100_000 + " 2x", "1 (" * 50_000, "((1" * 50_000, "1 - " * 40_000]
+    assert len(found(spark, texts)) == len(texts)
