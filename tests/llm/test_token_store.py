@@ -17,9 +17,7 @@ from tests.conftest import SF_DIR
 
 @functools.cache
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path(T.TOKENIZER))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(T.TOKENIZER))
 
 
 def library(texts):
