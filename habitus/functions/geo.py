@@ -7,44 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from habitus.functions.addresses import is_public_ip
 from habitus.functions.normalize import as_column
 from habitus.sources.locations import COUNTRY_TOKENS, PLACEHOLDERS
 
-# IPv4 blocks that are not globally routable (first, last address), and multicast.
-RESERVED_V4 = (
-    ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"),
-    ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"),
-    ("192.0.0.0", "192.0.0.8"), ("192.0.0.11", "192.0.0.255"), ("192.0.2.0", "192.0.2.255"), ("192.168.0.0", "192.168.255.255"),
-    ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"), ("203.0.113.0", "203.0.113.255"),
-    ("224.0.0.0", "239.255.255.255"), ("240.0.0.0", "255.255.255.255"),
-)
-# Fixed value: mean Earth radius in kilometres.
-EARTH_KM = 6371.0088
-
-
-def _as_int(ip: str) -> int:
-    return reduce(lambda acc, part: acc * 256 + int(part), ip.split("."), 0)
-
-
-def ip_number(c: Column | str) -> Column:
-    """A well-formed IPv4 address as a number; null for anything else."""
-    ip = F.trim(as_column(c))
-    parts = F.split(ip, r"\.")
-    octets = [F.get(parts, F.lit(i)).try_cast("long") for i in range(4)]
-    number = reduce(lambda acc, o: acc * 256 + o, octets, F.lit(0).cast("long"))
-    formed = ip.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$")
-    return F.when(formed & (F.greatest(*octets) <= 255), number)
-
-
-def is_public_ip(c: Column | str) -> Column:
-    """True only for a valid, globally routable IPv4 address (IPv6 text counts as unusable)."""
-    # the lambda keeps the parsed number in one variable, so that it is computed once and the plan stays small
-    def routable(n: Column) -> Column:
-        return ~reduce(lambda a, b: a | b, [n.between(_as_int(lo), _as_int(hi)) for lo, hi in RESERVED_V4])
-
-    return F.coalesce(F.get(F.transform(F.array(ip_number(c)), routable), F.lit(0)), F.lit(False))
-
-
 def valid_point(lat: Column, lon: Column) -> Column:
     return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
 
@@ -192,14 +158,22 @@ def resolve_plus_codes(df: DataFrame, col: str, ref_lat: str | None = None, ref_
     }).drop("_digits", "_values", "_short", "_step", "_lat", "_lon", "_h", "_w")
 
 
-def resolve_coords(df: DataFrame, registry: DataFrame, resolver: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+Hook = Callable[[DataFrame], DataFrame]
+
+
+def resolve_coords(df: DataFrame, registry: DataFrame, resolver: Hook | None = None, locations: Hook | None = None) -> DataFrame:
     """Coordinates by falling quality: explicit, Plus Code, registry, address resolver, none.
 
     Reads `latitude`, `longitude`, `location`, `ip`; adds geo_lat, geo_lon, geo_source, geo_granularity, geo_precision_m,
-    the evidence flags and, when nothing resolves, a reason. `resolver` is a user hook that adds `ip_lat`, `ip_lon`.
+    the evidence flags and, when nothing resolves, a reason. `resolver` is a user hook that adds `ip_lat`, `ip_lon`, such as
+    addresses.range_resolver; it counts for public addresses only. `locations` is a hook that adds `hook_lat`, `hook_lon` from
+    `location`; with one the registry only helps short Plus Codes. Points out of range count as not found.
     """
     out = resolve_plus_codes(registry_lookup(df, registry), "location", "loc_lat", "loc_lon")
-    out = resolver(out) if resolver else out.withColumns({"ip_lat": F.lit(None).cast("double"), "ip_lon": F.lit(None).cast("double")})
+    out = resolver(out) if resolver else out.withColumns({c: F.lit(None).cast("double") for c in ("ip_lat", "ip_lon")})
+    if locations:
+        named = F.coalesce(F.trim("location") != "", F.lit(False)) & valid_point(F.col("hook_lat"), F.col("hook_lon"))
+        out = locations(out).withColumns({"loc_lat": F.when(named, F.col("hook_lat")), "loc_lon": F.when(named, F.col("hook_lon")), "loc_kind": F.when(named, "hook")}).drop("hook_lat", "hook_lon")
     explicit = valid_point(F.col("latitude"), F.col("longitude"))
     public = is_public_ip("ip")
     by_ip = public & valid_point(F.col("ip_lat"), F.col("ip_lon"))
@@ -214,7 +188,7 @@ def resolve_coords(df: DataFrame, registry: DataFrame, resolver: Callable[[DataF
     def pick(options: dict[str, Column]) -> Column:
         return reduce(lambda acc, kv: F.when(src == kv[0], kv[1]).otherwise(acc), options.items(), F.lit(None))
 
-    registry_m = F.when(F.col("loc_kind") == "city", 8000.0).otherwise(60000.0)
+    registry_m = F.when(F.col("loc_kind") == "city", 8000.0).when(F.col("loc_kind") == "state", 60000.0)
     out = out.withColumns({
         "geo_lat": pick({"coordinates": F.col("latitude"), "plus_code": F.col("pc_lat"), "location_registry": F.col("loc_lat"), "ip": F.col("ip_lat")}),
         "geo_lon": pick({"coordinates": F.col("longitude"), "plus_code": F.col("pc_lon"), "location_registry": F.col("loc_lon"), "ip": F.col("ip_lon")}),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from habitus.functions import geo as G
+from habitus.functions import addresses as A, geo as G
 from habitus.plans.ctes import with_
 from habitus.plans.registry import query
 from habitus.sources.locations import CITIES, STATES, location_registry
@@ -117,30 +117,55 @@ def x23_short(spark, d):
     return G.resolve_plus_codes(df, "text", "ref_lat", "ref_lon").select(*KEYS, F.round("pc_lat", 7).alias("lat"), F.round("pc_lon", 7).alias("lon"))
 
 
-WATER = with_(REG, LOC, SEGS, HIT) + """, w AS (SELECT *, CASE WHEN l_linenumber = 2 THEN CASE WHEN l_suppkey % 7 = 0 THEN 95.0 ELSE 9.5 END END AS latitude, CASE WHEN l_linenumber = 2 THEN 7.25 END AS longitude,
-  CASE WHEN l_linenumber = 3 THEN '10.0.0.1' WHEN l_linenumber = 4 THEN '41.58.1.9' END AS ip FROM hit),
-src AS (SELECT *, CASE WHEN latitude BETWEEN -90 AND 90 THEN 'coordinates' WHEN loc_lat IS NOT NULL THEN 'location_registry' WHEN ip = '41.58.1.9' THEN 'ip' ELSE 'unavailable' END AS s FROM w)"""
+WATER = with_(REG, LOC, SEGS, HIT) + f""", w AS (SELECT *, CASE WHEN l_linenumber = 2 THEN CASE WHEN l_suppkey % 7 = 0 THEN 95.0 ELSE 9.5 END END AS latitude, CASE WHEN l_linenumber = 2 THEN 7.25 END AS longitude,
+  CASE WHEN l_linenumber = 3 THEN '10.0.0.1' WHEN l_linenumber = 4 THEN '41.58.1.9' WHEN l_linenumber = 5 THEN '2c0f:f248::1' END AS ip, {LAT_D} + 1 / 16000.0::DOUBLE AS code_lat FROM hit),
+src AS (SELECT *, CASE WHEN latitude BETWEEN -90 AND 90 THEN 'coordinates' WHEN l_linenumber = 6 THEN 'plus_code' WHEN loc_lat IS NOT NULL THEN 'location_registry' WHEN l_linenumber IN (4, 5) THEN 'ip' ELSE 'unavailable' END AS s FROM w)"""
 
 
-@query("x21_coordinate_waterfall", WATER + """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, s AS geo_source, CASE s WHEN 'coordinates' THEN latitude WHEN 'location_registry' THEN loc_lat WHEN 'ip' THEN 6.5 END AS geo_lat,
-  CASE s WHEN 'coordinates' THEN 'exact' WHEN 'location_registry' THEN loc_kind WHEN 'ip' THEN 'ip' END AS geo_granularity, CASE s WHEN 'coordinates' THEN 0 WHEN 'location_registry' THEN CASE loc_kind WHEN 'city' THEN 8000 ELSE 60000 END END AS geo_precision_m,
+@query("x21_coordinate_waterfall", WATER + """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, s AS geo_source,
+  round(CASE s WHEN 'coordinates' THEN latitude WHEN 'plus_code' THEN code_lat WHEN 'location_registry' THEN loc_lat WHEN 'ip' THEN CASE l_linenumber WHEN 4 THEN 6.5 ELSE -1.25 END END, 7) AS geo_lat,
+  CASE s WHEN 'coordinates' THEN 'exact' WHEN 'plus_code' THEN 'plus_code' WHEN 'location_registry' THEN loc_kind WHEN 'ip' THEN 'ip' END AS geo_granularity,
+  CASE s WHEN 'coordinates' THEN 0 WHEN 'plus_code' THEN 13.9 WHEN 'location_registry' THEN CASE loc_kind WHEN 'city' THEN 8000 ELSE 60000 END END AS geo_precision_m,
   CASE WHEN s = 'unavailable' THEN CASE WHEN sg IS NOT NULL THEN 'unknown_location' WHEN ip = '10.0.0.1' THEN 'private_or_malformed_ip' ELSE 'no_evidence' END END AS unresolved_reason FROM src""")
 def x21(spark, d):
-    return resolved(spark, d).select(*KEYS, "geo_source", "geo_lat", "geo_granularity", "geo_precision_m", "unresolved_reason")
+    return resolved(spark, d).select(*KEYS, "geo_source", F.round("geo_lat", 7).alias("geo_lat"), "geo_granularity", "geo_precision_m", "unresolved_reason")
 
 
-def address_table(df):
-    """User hook: one known address block."""
-    known = F.col("ip") == "41.58.1.9"
-    return df.withColumns({"ip_lat": F.when(known, 6.5), "ip_lon": F.when(known, 3.4)})
+#: Address blocks of the waterfall's rows: a country with a city inside it, and one of the other family.
+BLOCKS = [("41.0.0.0/8", 0.5, 0.5), ("41.58.0.0/16", 6.5, 3.4), ("2c0f:f248::/32", -1.25, 36.75)]
 
 
 def resolved(spark, d):
     rows = places(spark, d).withColumns({
         "latitude": F.expr("CASE WHEN l_linenumber = 2 THEN CASE WHEN l_suppkey % 7 = 0 THEN 95D ELSE 9.5D END END"),
         "longitude": F.expr("CASE WHEN l_linenumber = 2 THEN 7.25D END"),
-        "ip": F.expr("CASE WHEN l_linenumber = 3 THEN '10.0.0.1' WHEN l_linenumber = 4 THEN '41.58.1.9' END")})
-    return G.resolve_coords(rows, location_registry(spark), address_table)
+        "ip": F.expr("CASE WHEN l_linenumber = 3 THEN '10.0.0.1' WHEN l_linenumber = 4 THEN '41.58.1.9' WHEN l_linenumber = 5 THEN '2c0f:f248::1' END"),
+        "location": F.when(F.col("l_linenumber") == 6, F.expr(code_text("spark"))).otherwise(F.col("location"))})
+    blocks = A.ranges_of(spark.createDataFrame(BLOCKS, "network string, lat double, lon double"), network="network")
+    return G.resolve_coords(rows, location_registry(spark), A.range_resolver(blocks))
+
+
+# visits come from IPv4 addresses and, one in five, IPv6 ones; each supplier has a range of either family, and they overlap
+RANGES = """v AS (SELECT event_id, event_id % 5 = 0 AS six, CASE WHEN event_id % 5 = 0 THEN (user_id % 8) * 65536 + event_id * 7 % 65536
+  ELSE 41 * 16777216 + (user_id % 4) * 65536 + (event_id % 256) * 256 + event_id * 7 % 256 END AS n FROM events),
+r AS (SELECT s_suppkey, s_suppkey % 3 = 0 AS six, CASE WHEN s_suppkey % 3 = 0 THEN (s_suppkey % 8) * 65536 + s_suppkey * 53 % 65536
+  ELSE 41 * 16777216 + (s_suppkey % 4) * 65536 + (s_suppkey * 37 % 256) * 256 + s_suppkey * 11 % 256 END AS lo, s_suppkey * s_suppkey % 5000 AS size FROM supplier)"""
+TEXT = """CASE WHEN six THEN concat('2c0f:', lower(hex({n} DIV 65536)), '::', lower(hex({n} % 65536)))
+  ELSE concat_ws('.', {n} DIV 16777216, {n} DIV 65536 % 256, {n} DIV 256 % 256, {n} % 256) END"""
+
+
+@query("x21_address_ranges", with_(RANGES) + """SELECT event_id, s_suppkey, count_in::BIGINT AS ranges_around FROM (SELECT v.event_id, r.s_suppkey, count(r.s_suppkey) OVER (PARTITION BY v.event_id) AS count_in,
+  row_number() OVER (PARTITION BY v.event_id ORDER BY lo DESC, hi, s_suppkey) AS k FROM v LEFT JOIN (SELECT *, CASE WHEN six THEN least(lo + size, lo // 65536 * 65536 + 65535) ELSE lo + size END AS hi FROM r) r
+  ON v.six = r.six AND v.n BETWEEN r.lo AND r.hi) WHERE k = 1""")
+def x21_address_ranges(spark, d):
+    text = lambda n, name: F.expr(TEXT.format(n=n)).alias(name)
+    visits = load(spark, d, "events").select("event_id", F.expr("event_id % 5 = 0").alias("six"), F.expr(
+        "CASE WHEN event_id % 5 = 0 THEN (user_id % 8) * 65536 + event_id * 7 % 65536 ELSE 41 * 16777216 + (user_id % 4) * 65536 + (event_id % 256) * 256 + event_id * 7 % 256 END").alias("n"))
+    lo = F.expr("CASE WHEN s_suppkey % 3 = 0 THEN (s_suppkey % 8) * 65536 + s_suppkey * 53 % 65536 ELSE 41 * 16777216 + (s_suppkey % 4) * 65536 + (s_suppkey * 37 % 256) * 256 + s_suppkey * 11 % 256 END")
+    owned = load(spark, d, "supplier").select("s_suppkey", F.expr("s_suppkey % 3 = 0").alias("six"), lo.alias("lo")).withColumn("far", F.expr("lo + s_suppkey * s_suppkey % 5000"))
+    owned = owned.withColumn("hi", F.expr("CASE WHEN six THEN least(far, lo DIV 65536 * 65536 + 65535) ELSE far END"))
+    ranges = A.ranges_of(owned.select("s_suppkey", text("lo", "first"), text("hi", "last")))
+    return A.with_ranges(visits.select("event_id", text("n", "ip")), ranges, "ip", ("s_suppkey",), around="ranges_around").drop("ip")
 
 
 POINT = "pts AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS customer_key, epoch_us(ts) AS us, CASE WHEN event_type <> 'error' THEN value / 10 END AS lat, CASE WHEN event_type <> 'error' THEN value / 5 END AS lon FROM events)"
