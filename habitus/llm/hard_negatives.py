@@ -246,19 +246,21 @@ def ranked(df: DataFrame, by: list[str], score: str, name: str, most: int) -> Da
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
-def mine(candidates: DataFrame, anchors: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH) -> DataFrame:
-    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score; both inputs are like vectors() gives them.
+def mine(rows: DataFrame, is_anchor: Column, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score of the anchors among rows, as vectors() gives them.
 
     Rows with a null id, label, vector or component, or a component that is not finite, take no part; of rows that repeat a
     vec_id one counts (vectors). Scores are inner products of whole numbers; a vector shorter than the other is filled up
     with zeros, and an empty one scores 0. Equal scores are ordered by vec_id. A window of a negative positive_score is
     empty. Empty tables, or anchors without a positive or a negative, give no rows. Other columns are not read.
     """
-    same = over_pairs(anchors.withColumn("kind", F.col("label")), candidates.withColumn("kind", F.col("label")), positives_of(positives), schema("anchor_id", "positive_id", "positive_score"))
+    rows = stored(rows.select("vec_id", "label", "q", F.col("label").alias("kind"), F.lit(0).alias("whole")), "vectors")
+    anchors = rows.filter(is_anchor)
+    same = over_pairs(anchors.drop("whole"), rows.drop("whole"), positives_of(positives), schema("anchor_id", "positive_id", "positive_score"))
     best = ranked(same, ["anchor_id"], "positive_score", "positive_id", positives).drop("rank")
     each = best.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.collect_list(F.struct("positive_id", "positive_score")).alias("positives"))
-    one = F.lit(0).alias("kind")
-    found = over_pairs(anchors.join(each, "vec_id").select("*", one), candidates.select("*", one), negatives_of(negatives, low, high),
+    every = lambda df: df.withColumn("kind", F.col("whole")).drop("whole")
+    found = over_pairs(every(anchors.join(each, "vec_id")), every(rows), negatives_of(negatives, low, high),
                        schema("anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"))
     return ranked(found, ["anchor_id", "positive_id"], "negative_score", "negative_id", negatives).select(
         "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

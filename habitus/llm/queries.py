@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from habitus.llm import bpe, brown_lm, decontaminate, group_join, hard_negatives, importance, language_id, mpeg_audio, pii, superkmer, token_store
+from habitus.llm import bpe, brown_lm, decontaminate, group_join, hard_negatives, importance, language_id, mpeg_audio, pii, prefix_trie, secret_scan, superkmer, token_store
 from habitus.llm.text import stored
 from habitus.session import prepare, scratch
 
@@ -144,5 +144,32 @@ QUALIFY rank <= 3"""
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = table(spark, sf_dir, "embeddings")
     moved = embeddings.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
-    rows = stored(hard_negatives.vectors(moved), "vectors")
-    return hard_negatives.mine(rows, rows.filter(F.col("vec_id") % 50 == 0))
+    return hard_negatives.mine(hard_negatives.vectors(moved), F.col("vec_id") % 50 == 0)
+
+
+CRC32 = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST({} AS VARCHAR), ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))), 4294967295)"""
+TRIE = f"""
+WITH o AS (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, sha256(strlen(r) || ':' || r || x)) AS w
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+h AS (SELECT conv_id, w, {CRC32.format('conv_id')} % 9 AS h FROM o),
+s AS (SELECT h.conv_id, list_concat(coalesce(o.w[1:h], []), h.w[h + 1:]) AS w FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 5),
+m AS (SELECT conv_id, d, w[1:d] AS k, len(w) = d AS ends FROM s, unnest(range(0, len(w) + 1)) AS u(d)),
+n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(CASE WHEN ends THEN conv_id END, ',' ORDER BY conv_id), '') AS e FROM m GROUP BY d, k),
+c AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS children FROM n WHERE d > 0 GROUP BY ALL),
+v AS (SELECT n.d, k, (n - 1) * coalesce(strlen(k[n.d].x), 0) AS saved, children IS NULL AS leaf FROM n LEFT JOIN c USING (d, k)),
+t AS (SELECT a AS d, k[1:a] AS k, sum(saved) AS saved, sum(leaf::INT) AS leaves FROM v, unnest(range(0, d + 1)) AS u(a) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(children, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(n.e) AS ends_sha256
+FROM n JOIN t USING (d, k) LEFT JOIN c USING (d, k) LEFT JOIN n p ON p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]"""
+
+
+@query(TRIE)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return secret_scan.report(secret_scan.find(documents, secret_scan.fit(documents)))

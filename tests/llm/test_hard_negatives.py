@@ -29,8 +29,7 @@ def brute(rows):
 
 
 def mined(spark, rows):
-    v = H.vectors(spark.createDataFrame(rows, SCHEMA)).cache()
-    return sorted(tuple(r) for r in H.mine(v, v.filter("vec_id % 50 = 0")).collect())
+    return sorted(tuple(r) for r in H.mine(H.vectors(spark.createDataFrame(rows, SCHEMA)), F.col("vec_id") % 50 == 0).collect())
 
 
 def test_query_against_brute_force(spark):
@@ -93,5 +92,4 @@ def test_awkward_rows(spark):
 def test_clashing_columns(spark):
     rows = [(0, [1.0], 1, 7, "x", 1, 2), (1, [1.0], 1, 7, "x", 1, 2), (2, [0.8], 2, 7, "x", 1, 2)]
     df = spark.createDataFrame(rows, SCHEMA + ", q int, kind string, block int, rank int")
-    v = H.vectors(df)
-    assert [tuple(r) for r in H.mine(v, v.filter(F.col("vec_id") == 0)).collect()] == [(0, 1, 1, 2, 65536, 256 * 204)]
+    assert [tuple(r) for r in H.mine(H.vectors(df), F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2, 65536, 256 * 204)]
