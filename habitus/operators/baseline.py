@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from habitus.config import DEFAULTS, Settings, WEEKDAYS
 from habitus.functions.maps import set_diff, top_buckets
 from habitus.functions.normalize import canonical_location, canonical_type, days_between, decay_weight, ip_subnet_strict
-from habitus.operators.ordered import FINE, quantile_arrays, quantiles, weighted_quantiles
+from habitus.operators.ordered import quantile_arrays, quantiles, weighted_quantiles
 
 
 
@@ -76,14 +76,14 @@ def fit_baseline(train: DataFrame, half_life: float = DEFAULTS.half_life_days, a
 
 def population_baseline(train: DataFrame) -> DataFrame:
     """Median and 95th percentile of all amounts, for customers without a baseline."""
-    return quantiles(train, "amount", {"amt_median": 0.5, "amt_p95": 0.95}, resolution=FINE)
+    return quantiles(train, "amount", {"amt_median": 0.5, "amt_p95": 0.95})
 
 
 def watermark_of(df: DataFrame) -> DataFrame:
     """What the training data looked like: newest time and id, rows, distinct decile edges and the share per bin."""
     positive = df.where("amount > 0")
     deciles = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: i / 10)
-    edges = quantile_arrays(positive, "amount", deciles, name="edges", resolution=FINE).select(
+    edges = quantile_arrays(positive, "amount", deciles, name="edges").select(
         F.array_sort(F.array_distinct("edges")).alias("edges"), F.lit(1).alias("_one"))
     head = df.agg(F.max("ts").alias("max_date"), F.max("id").alias("max_id"), F.count("*").alias("rows")).withColumn("_one", F.lit(1))
     shares = bin_shares(positive, edges.select("edges").scalar()).withColumn("_one", F.lit(1))

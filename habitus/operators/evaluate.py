@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from habitus.config import DEFAULTS, SPIKES
-from habitus.operators.ordered import FINE, dense_index, quantile_arrays, quantiles, running_sums
+from habitus.operators.ordered import dense_index, quantile_arrays, quantiles, running_sums
 
 
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -17,7 +17,7 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def ranked_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     """Distinct scores with the positives and negatives below them, and the totals."""
-    return running_sums(score_counts(df, label, score), "score", ["pos", "neg"], resolution=FINE)
+    return running_sums(score_counts(df, label, score), "score", ["pos", "neg"])
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -53,7 +53,7 @@ def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
 def ecdf_rank(df: DataFrame, score: str) -> DataFrame:
     """Share of scored rows at or below each row's score: the exact training-set form of the normaliser. No score, no share."""
     counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("n"))
-    ranks = running_sums(counts, "_s", ["n"], resolution=FINE)
+    ranks = running_sums(counts, "_s", ["n"])
     shares = ranks.select("_s", ((F.col("n_before") + F.col("n")) / F.col("n_total")).alias("ecdf"))
     return df.join(shares, df[score] == shares["_s"], "left").drop("_s")
 
@@ -61,13 +61,13 @@ def ecdf_rank(df: DataFrame, score: str) -> DataFrame:
 def fit_quantiles(df: DataFrame, score: str, n: int = 1001) -> DataFrame:
     """The stored form of a score distribution: n evenly spaced quantiles."""
     qs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i / float(n - 1))
-    return quantile_arrays(df, score, qs, name="quantiles", resolution=FINE)
+    return quantile_arrays(df, score, qs, name="quantiles")
 
 
 def fit_cuts(df: DataFrame, risk: str = "risk_score", percentiles: dict[str, float] | None = None) -> DataFrame:
     """Tier cuts: percentiles of the hold-out risk."""
     p = percentiles or DEFAULTS.tier_percentiles
-    return quantiles(df, risk, {k: v / 100.0 for k, v in p.items()}, resolution=FINE)
+    return quantiles(df, risk, {k: v / 100.0 for k, v in p.items()})
 
 
 def split_customers(keys: DataFrame, frac: float = DEFAULTS.holdout_frac, seed: int = DEFAULTS.seed, key: str = "customer_key") -> DataFrame:
@@ -118,8 +118,8 @@ def evaluate_unsupervised(normal: DataFrame, synthetic: DataFrame, risk: str = "
     """Label-free quality: how well risk separates hold-out rows from synthetic anomalies."""
     both = normal.select(risk, F.lit(0).alias("y")).unionByName(synthetic.select(risk, F.lit(1).alias("y")))
     auc = roc_auc(both, "y", risk)
-    n = quantiles(normal, risk, {"normal_risk_median": 0.5, "normal_risk_p99": 0.99}, resolution=FINE)
-    a = quantiles(synthetic, risk, {"synthetic_risk_median": 0.5}, resolution=FINE)
+    n = quantiles(normal, risk, {"normal_risk_median": 0.5, "normal_risk_p99": 0.99})
+    a = quantiles(synthetic, risk, {"synthetic_risk_median": 0.5})
     sizes = both.groupBy().agg(F.count_if(F.col("y") == 0).alias("n_holdout_normal"), F.count_if(F.col("y") == 1).alias("n_synthetic"))
     one = F.lit(1).alias("_one")
     out = auc.select(F.col("roc_auc").alias("synthetic_auc"), one)
@@ -137,7 +137,7 @@ def evaluate_proxy(df: DataFrame, label: str, risk: str = "risk_score") -> DataF
     """
     grid = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: 0.80 + i * ((0.999 - 0.80) / 39.0))
     counts = score_counts(df, label, risk)
-    grid_values = quantile_arrays(df, risk, grid, name="grid", resolution=FINE).select(F.array_sort(F.array_distinct("grid")).alias("grid"))
+    grid_values = quantile_arrays(df, risk, grid, name="grid").select(F.array_sort(F.array_distinct("grid")).alias("grid"))
     # each distinct score adds to the number of thresholds it reaches: bucket by that number, then accumulate 40 buckets
     reach = counts.withColumn("_g", grid_values.scalar()).withColumn("reached", F.size(F.filter("_g", lambda t: t <= F.col("score"))))
     buckets = reach.groupBy("reached").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))

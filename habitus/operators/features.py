@@ -91,7 +91,13 @@ def transform(
 
     Cold-start customers get neutral deviations, but their velocity and graph features are computed like anyone's.
     """
-    rows = with_velocity(txn, median=median)
+    return deviations(with_velocity(txn, median=median), base, member_rows, population, graph, keep)
+
+
+def deviations(
+    rows: DataFrame, base: DataFrame, member_rows: DataFrame, population: DataFrame, graph: DataFrame | None = None, keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """The matrix of rows that have their velocity and recency features already, however those were counted."""
     rows = with_population(rows, population).join(base.drop("n"), "customer_key", "left")
     rows = rows.withColumns(amount_features() | time_features() | {"cross_border": cross_border(), "is_cold_start": F.col("amt_max").isNull()})
     rows = with_novelty(rows, member_rows)

@@ -8,7 +8,7 @@ from habitus.config import DEFAULTS, Settings
 from habitus.functions.normalize import canonical_verdict, days_between
 from habitus.operators.baseline import bin_shares, psi
 from habitus.operators.filters import latest
-from habitus.operators.ordered import FINE, quantiles
+from habitus.operators.ordered import quantiles
 from habitus.operators.velocity import previous_value
 
 FLAGGED = ("review", "unsafe")
@@ -98,7 +98,7 @@ def latency_summary(results: DataFrame, col: str = "latency_ms") -> DataFrame:
     """Average, interpolated median and 95th percentile, and maximum latency."""
     one = F.lit(1).alias("_one")
     base = results.agg(F.count("*").alias("requests"), F.avg(col).alias("avg_ms"), F.max(col).alias("max_ms")).select("*", one)
-    q = quantiles(results, col, {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}, resolution=FINE).select("*", one)
+    q = quantiles(results, col, {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}).select("*", one)
     return base.join(q, "_one").drop("_one")
 
 
@@ -130,7 +130,7 @@ def index_quantile(df: DataFrame, col: str, qs: dict[str, float]) -> DataFrame:
     from habitus.operators.ordered import running_sums
 
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_x")).agg(F.count("*").alias("n"))
-    ranked = running_sums(counts, "_x", ["n"], resolution=FINE)
+    ranked = running_sums(counts, "_x", ["n"])
 
     def holds(p: float) -> Column:
         pos = F.least(F.col("n_total") - 1, F.floor(F.col("n_total") * p))
@@ -148,7 +148,7 @@ def geo_velocity_report(log: DataFrame, high_kmh: float = 900.0) -> DataFrame:
     counts = rows.agg(
         F.count("*").alias("calculable"), F.count_if(F.col("kmh") > 0).alias("nonzero"), F.min("kmh").alias("min_kmh"), F.max("kmh").alias("max_kmh"),
         F.count_if(high).alias("high"), *[F.count_if(high & (F.col("status") == s)).alias(f"high_{s}") for s in ("safe", "review", "unsafe")]).select("*", one)
-    median = quantiles(rows, "kmh", {"median_kmh": 0.5}, resolution=FINE).select("*", one)
+    median = quantiles(rows, "kmh", {"median_kmh": 0.5}).select("*", one)
     tail = index_quantile(rows, "kmh", {"p90_kmh": 0.9, "p95_kmh": 0.95}).select("*", one)
     return counts.join(median, "_one").join(tail, "_one").drop("_one")
 

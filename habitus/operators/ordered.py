@@ -3,13 +3,20 @@
 A window over a whole group runs in one task, and so does the percentile aggregate. Here every ordered computation
 is split by a monotone bin of the ordering value: per-bin totals are small, a window over them gives each bin's
 starting offset, and only rows of the same bin are ever sorted together.
+
+Where all rows are ordered together the bins are ranges between split points, which are approximate percentiles of the
+rows themselves: every range holds about as many rows, however the values lie. The rows are stored first, so that split
+points, totals and ranks come from the same ones. Groups of their own keys take bins of a logarithmic scale, which need no look at
+the data before.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-FINE = 1024  # bins per doubling for ungrouped data, coarse enough that the table of bins stays small
+from habitus.session import materialize
+
+PARTS = 1024  # ranges of ungrouped data
 COARSE = 8
 
 
@@ -19,16 +26,49 @@ def monotone_bin(x: Column | str, resolution: int = COARSE) -> Column:
     return F.floor(F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)) * F.lit(float(resolution)))
 
 
+def split_points(df: DataFrame, x: str, parts: int = PARTS) -> list[float]:
+    """At most parts - 1 values that cut the rows of df into ranges of about equal size, from one pass in bounded memory.
+
+    They steer only where rows are ranked: any list of values gives the same results.
+    """
+    at = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    found = df.where(F.col(x).isNotNull()).agg(F.percentile_approx(F.col(x).cast("double"), at, 20 * parts)).first()[0]
+    return sorted(set(found or []))
+
+
+def range_bin(x: Column | str, points: list[float]) -> Column:
+    """How many of the sorted points are at or below x, by binary search."""
+    v = (F.col(x) if isinstance(x, str) else x).cast("double")
+    if not points:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(repr, points))), ",").cast("array<double>")  # folded once into a constant
+    strides = F.array(*[F.lit(1 << i) for i in reversed(range(len(points).bit_length()))])
+    reached = lambda n: F.coalesce(F.get(table, n - 1) <= v, F.lit(False))
+    return F.aggregate(strides, F.lit(0), lambda n, stride: F.when(reached(n + stride), n + stride).otherwise(n))
+
+
+def binned(df: DataFrame, x: str, keys: tuple[str, ...], label: str) -> DataFrame:
+    """df with `_bin`: by split points of the stored rows if all are ordered together, else by a logarithmic scale."""
+    if keys:
+        return df.withColumn("_bin", monotone_bin(x))
+    return split(df, x, label)
+
+
+def split(df: DataFrame, x: str, label: str) -> DataFrame:
+    """df, stored, with `_bin` by split points over all rows; no bin of any group holds much more than 1 / PARTS of all rows."""
+    kept = materialize(df, label)
+    return kept.withColumn("_bin", range_bin(x, split_points(kept, x)))
+
+
 def running_sums(
     df: DataFrame, order: str, measures: list[str], keys: tuple[str, ...] = (), tie: tuple[str, ...] = (),
-    resolution: int = COARSE,
 ) -> DataFrame:
     """Add `<m>_before` (sum over earlier rows of the group) and `<m>_total` for every measure.
 
     Rows must be unique per (keys, order, tie); keys must not be null.
     """
-    binned = df.withColumn("_bin", monotone_bin(order, resolution))
-    per_bin = binned.groupBy(*keys, "_bin").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
+    rows = binned(df, order, keys, "ordered")
+    per_bin = rows.groupBy(*keys, "_bin").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bin.select(
@@ -36,22 +76,23 @@ def running_sums(
         *[F.coalesce(F.sum(f"_s_{m}").over(earlier), F.lit(0)).alias(f"_off_{m}") for m in measures],
         *[F.sum(f"_s_{m}").over(group).alias(f"{m}_total") for m in measures])
     inside = Window.partitionBy(*keys, "_bin").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, -1)
-    return binned.join(offsets, [*keys, "_bin"]).withColumns({
+    return rows.join(offsets, [*keys, "_bin"]).withColumns({
         f"{m}_before": F.col(f"_off_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures
     }).drop("_bin", *[f"_off_{m}" for m in measures])
 
 
 def quantile_arrays(
     df: DataFrame, x: str, qs: Column, keys: tuple[str, ...] = (), name: str = "quantiles", method: str = "linear",
-    resolution: int = COARSE,
+    few: bool = False, count: str | None = None,
 ) -> DataFrame:
     """Exact quantiles per group as one array, in the order of the array column `qs`.
 
     Equal values are counted before anything is sorted; the bins that hold a wanted rank are found from bin totals;
-    only those bins are then ranked. `method` is 'linear' interpolation or the 'nearest' rank.
+    only those bins are then ranked. `method` is 'linear' interpolation or the 'nearest' rank. `few` says that the groups are
+    few and large, so that their rows are split by split points too; `count` names a column that says how often a row counts.
     """
-    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_bin", monotone_bin("_x", resolution))
+    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg((F.sum(count) if count else F.count("*")).alias("_n"))
+    counts = split(counts, "_x", "counts") if few else binned(counts, "_x", keys, "counts")
     # the join below implies these filters; stating them here keeps both readers of the counts alike, so they share one shuffle
     for c in (*keys, "_bin"):
         counts = counts.where(F.col(c).isNotNull())
@@ -87,11 +128,10 @@ def quantile_arrays(
 
 
 def quantiles(
-    df: DataFrame, x: str, qs: dict[str, float], keys: tuple[str, ...] = (), method: str = "linear",
-    resolution: int = COARSE,
+    df: DataFrame, x: str, qs: dict[str, float], keys: tuple[str, ...] = (), method: str = "linear", few: bool = False,
 ) -> DataFrame:
     """Exact quantiles per group, one named column each."""
-    arrays = quantile_arrays(df, x, F.array(*[F.lit(float(q)) for q in qs.values()]), keys, "_v", method, resolution)
+    arrays = quantile_arrays(df, x, F.array(*[F.lit(float(q)) for q in qs.values()]), keys, "_v", method, few)
     return arrays.select(*keys, *[F.get("_v", F.lit(i)).alias(n) for i, n in enumerate(qs)])
 
 
@@ -100,11 +140,17 @@ def weighted_quantiles(
 ) -> DataFrame:
     """Weighted quantiles by cumulative midpoints with linear interpolation, clamped at both ends.
 
-    Once every row knows the weight before it, the two rows that bracket a quantile come from plain aggregates.
+    Rows are ordered by x, then by tie. Inside a run of equal x the interpolation gives x, so of each run only its weight and
+    the weights of its first and last row matter: one row per (keys, x) is shuffled, and its two outer midpoints stand for
+    all of them. The two that bracket a quantile come from plain aggregates.
     """
-    placed = running_sums(df.where(F.col(x).isNotNull()), x, [w], keys, tie)
-    mid = (F.col(f"{w}_before") + F.col(w) / 2) / F.col(f"{w}_total")
-    placed = placed.withColumn("_mid", mid)
+    order = F.struct(*tie)
+    runs = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(
+        F.sum(w).alias("_w"), F.min_by(w, order).alias("_first"), F.max_by(w, order).alias("_last"))
+    placed = running_sums(runs, x, ["_w"], keys)
+    first = (F.col("_w_before") + F.col("_first") / 2) / F.col("_w_total")
+    last = (F.col("_w_before") + F.col("_w") - F.col("_last") / 2) / F.col("_w_total")
+    placed = placed.select(*keys, x, F.explode(F.array(first, last)).alias("_mid"))
     aggs = []
     for name, q in qs.items():
         below, above = F.col("_mid") <= q, F.col("_mid") > q

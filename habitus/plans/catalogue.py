@@ -9,6 +9,7 @@ from habitus.plans import (  # noqa: F401
     monitoring,
     normalisation,
     profiling,
+    serving,
     training,
 )
 from habitus.plans.registry import ORACLE, QUERIES

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from habitus.config import FEATURES, WEEKDAYS
 from habitus.functions.maps import set_diff, top_buckets
 from habitus.operators import baseline as B, features as X, filters as L, graph as G, ordered as O, peers as Q, profile as P, velocity as V
+from habitus.operators.asof import as_of_totals
 from habitus.plans.ctes import CLEAN, MODEL_BASE, SANE, TXN, UNIQ, VALID, LABELLED, ELIGIBLE, TRAIN, with_
 from habitus.plans.normalisation import FIXTURE_ML
 from habitus.plans.profiling import CCY
@@ -77,9 +78,9 @@ def w03(spark, d):
   ON a.customer_key = b.customer_key AND b.us < a.us AND b.us >= a.us - 86400000000 GROUP BY 1""")
 def f11(spark, d):
     rows = event_rows(spark, d)
-    found = V.history_before(rows.withColumn("transaction_id", F.col("id").cast("string")), rows.withColumn("transaction_id", F.col("id").cast("string")))
-    per = found.groupBy(F.col("probe_id").cast("long").alias("id")).agg(F.count("*").alias("history_rows"), P.exact_sum("amount").alias("history_amount"))
-    return rows.select("id").join(per, "id", "left").select("id", F.coalesce("history_rows", F.lit(0)).alias("history_rows"), F.coalesce("history_amount", F.lit(0.0)).alias("history_amount"))
+    totals = as_of_totals(rows, rows.select("customer_key", "ts", F.col("id").alias("probe_id")), {"day": 1440})
+    return rows.select("id").join(totals.select(F.col("probe_id").alias("id"), "n_day", "sum_day"), "id", "left").select(
+        "id", F.coalesce("n_day", F.lit(0)).alias("history_rows"), F.coalesce("sum_day", F.lit(0.0)).alias("history_amount"))
 
 
 @query("j06_history_and_live", with_(EV) + """, hist AS (SELECT *, 0 AS live FROM ev WHERE ts < TIMESTAMP '2024-01-20'), live AS (SELECT * REPLACE (amount + 1 AS amount), 1 AS live FROM ev WHERE ts >= TIMESTAMP '2024-01-18'),

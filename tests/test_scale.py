@@ -137,3 +137,38 @@ def test_dense_index_is_contiguous(spark):
     df = spark.range(5000).select(F.concat(F.lit("n"), "id").alias("node"))
     ids = [r["i"] for r in O.dense_index(df, "node", F.md5("node"), "i").collect()]
     assert sorted(ids) == list(range(5000))
+
+
+def test_ranges_between_split_points_are_even(spark):
+    """A million distinct scores within a hundredth of each other: no range holds twice the median, and results are exact."""
+    n = 1_000_000
+    scores = spark.range(n).select((0.5 + F.pmod(F.col("id") * 7919, F.lit(n)) / float(100 * n)).alias("s"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    sizes = [r["count"] for r in O.split(scores, "s", "test").groupBy("_bin").count().collect()]
+    assert len(sizes) > O.PARTS * 0.9 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+    got = O.quantiles(scores, "s", {"a": 0.25, "b": 0.5, "c": 0.999}).first()
+    assert [got[k] for k in "abc"] == pytest.approx([0.5 + q * (n - 1) / (100 * n) for q in (0.25, 0.5, 0.999)], abs=1e-12)
+    ranked = O.running_sums(scores, "s", ["y"]).agg(F.max("y_before"), F.max("y_total")).first()
+    assert ranked[1] == (n + 2) // 3 and ranked[0] in (ranked[1], ranked[1] - 1)
+
+
+def test_split_points_hold_any_values(spark):
+    inf = float("inf")
+    rows = [(float(x),) for x in [0, 0, -1, 1e-300, -1e300, 1e300, inf, -inf, 5, 5, 5]] + [(None,)]
+    df = spark.createDataFrame(rows, "x double")
+    points = O.split_points(df, "x", 8)
+    got = {r["x"]: r["b"] for r in df.select("x", O.range_bin("x", points).alias("b")).collect() if r["x"] is not None}
+    assert got == {x: sum(p <= x for p in points) for x in got}
+    assert O.split_points(df.where("false"), "x") == [] and O.quantiles(df.where("false"), "x", {"m": 0.5}).first()[0] is None
+
+
+def test_weighted_quantiles_of_one_amount_paid_often(spark):
+    """A run of equal amounts is one row before anything is sorted, and the interpolation is that of its rows."""
+    rng = np.random.default_rng(3)
+    n = 20000
+    amounts = np.where(rng.random(n) < 0.7, 50.0, rng.integers(1, 30, n) * 10.0)
+    weights = rng.random(n)
+    pdf = pd.DataFrame({"k": "hot", "amount": amounts, "w": weights, "t": np.arange(n)})
+    got = O.weighted_quantiles(spark.createDataFrame(pdf), "amount", "w", {"a": 0.1, "b": 0.5, "c": 0.95}, ("k",), ("t",)).first()
+    pdf = pdf.sort_values(["amount", "t"])
+    mid = (pdf.w.cumsum() - pdf.w / 2) / pdf.w.sum()
+    assert [got[k] for k in "abc"] == pytest.approx(list(np.interp([0.1, 0.5, 0.95], mid, pdf.amount)), abs=1e-9)
