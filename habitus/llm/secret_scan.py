@@ -34,8 +34,8 @@ LONG = 20  # characters of a run that the models judge
 ORDINARY = 10  # characters of a run that is a sample of ordinary ones
 WORDS = "^(?:[A-Za-z]++|[0-9]++)(?:[_/+=-]++(?:[A-Za-z]++|[0-9]++))*+[_/+=-]*+$"
 GENERATED = 2000  # random samples of each of three alphabets
-SMOOTH = 0.5
-LEAST = 1.0  # nats a character by which the random model must be the better one
+SMOOTH, PRIOR = 0.5, 5.0  # counts added to each character, and counts that a character's share stands for
+LEAST = 3.0  # nats a character by which the random model must be the better one
 MICRO = 1_000_000  # ratios are whole numbers of this part of a nat, so that sums do not depend on their order
 
 
@@ -89,18 +89,23 @@ def transitions(labelled: DataFrame) -> DataFrame:
     return rows.select("label", F.explode(steps).alias("s")).groupBy("label", "s.before", "s.after").agg(F.count("*").alias("n"))
 
 
-def ratios(counted: DataFrame, smooth: float = SMOOTH) -> list[int]:
+def ratios(counted: DataFrame, smooth: float = SMOOTH, prior: float = PRIOR) -> list[int]:
     """Log ratio of the random to the ordinary model of each (before, after), before changing slowest, in whole MICROs.
 
-    counted has at most two rows a pair of characters, so it may come to the driver. A label without samples is uniform.
+    A transition is estimated from its own count and, with the weight of PRIOR counts, from the share of its character in all
+    values of the label, so what a label never showed is unlikely after any character. counted has at most two rows a pair
+    of characters, so it may come to the driver. A label without samples is uniform.
     """
     table = {(r.label, r.before, r.after): r.n for r in collected(counted).itertuples()}
-    size, out = len(ALPHABET), []
-    for before in range(START + 1):
-        n = {label: [table.get((label, before, after), 0) + smooth for after in range(size)] for label in ("random", "ordinary")}
-        total = {label: sum(v) for label, v in n.items()}
-        out += [round(MICRO * (math.log(a / total["random"]) - math.log(b / total["ordinary"]))) for a, b in zip(n["random"], n["ordinary"])]
-    return out
+    size = len(ALPHABET)
+    model = {}
+    for label in ("random", "ordinary"):
+        share = [sum(table.get((label, before, after), 0) for before in range(START + 1)) + smooth for after in range(size)]
+        share = [n / sum(share) for n in share]
+        for before in range(START + 1):
+            counts = [table.get((label, before, after), 0) for after in range(size)]
+            model[label, before] = [(n + prior * s) / (sum(counts) + prior) for n, s in zip(counts, share)]
+    return [round(MICRO * (math.log(a) - math.log(b))) for before in range(START + 1) for a, b in zip(model["random", before], model["ordinary", before])]
 
 
 def fit(documents: DataFrame) -> list[int]:
@@ -119,7 +124,7 @@ def likelihood_ratio(value: Column, model: list[int]) -> Column:
 
 
 def looks_random(value: Column, model: list[int], least: float = LEAST) -> Column:
-    return likelihood_ratio(value, model) >= F.length(value) * round(least * MICRO)
+    return likelihood_ratio(value, model) >= F.length(value).cast("long") * round(least * MICRO)
 
 
 def hits(text: Column, model: list[int], least: float = LEAST) -> Column:

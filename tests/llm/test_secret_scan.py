@@ -76,11 +76,13 @@ def test_models_against_python(spark):
         count.update((label, a, b) for a, b in zip([S.START, *map(S.ALPHABET.index, value)], map(S.ALPHABET.index, value)))
     table = S.ratios(S.transitions(S.samples(df, 0)))
     size = len(S.ALPHABET)
-    for a in range(size + 1):
-        total = {x: sum(count[x, a, b] + S.SMOOTH for b in range(size)) for x in ("random", "ordinary")}
+    def chance(label, a, b):
+        share = [sum(count[label, x, y] for x in range(size + 1)) + S.SMOOTH for y in range(size)]
+        return (count[label, a, b] + S.PRIOR * share[b] / sum(share)) / (sum(count[label, a, y] for y in range(size)) + S.PRIOR)
+
+    for a in (0, 5, 30, 55, size - 1, size):
         for b in range(size):
-            want = math.log((count["random", a, b] + S.SMOOTH) / total["random"]) - math.log((count["ordinary", a, b] + S.SMOOTH) / total["ordinary"])
-            assert abs(table[a * size + b] - want * S.MICRO) <= 1
+            assert abs(table[a * size + b] - S.MICRO * (math.log(chance("random", a, b)) - math.log(chance("ordinary", a, b)))) <= 1
     value = "some_abc123-name"
     row = spark.createDataFrame([(value,)], "v string").select(S.likelihood_ratio(S.F.col("v"), table)).first()[0]
     assert row == sum(table[a * size + b] for a, b in zip([S.START, *map(S.ALPHABET.index, value)], map(S.ALPHABET.index, value)))
