@@ -153,10 +153,11 @@ def find(documents: DataFrame, model: list[int], least: float = LEAST) -> DataFr
     each = rows.select("row", F.explode("hits").alias("h")).select("row", "h.*")
     end = F.sum(F.col("gap") + F.col("length")).over(Window.partitionBy("row", "kind").orderBy("place"))
     spans = each.withColumn("end", end.cast("int")).filter("holds").select("row", "kind", (F.col("end") - F.col("length")).alias("start"), "end")
-    order = Window.partitionBy("row").orderBy("start", "kind")
+    forth, back = Window.partitionBy("row").orderBy("start", "kind"), Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"))
+    before = (Window.unboundedPreceding, -1)  # a frame that ends at the last row would be gone through anew for each row
     base = F.col("kind") < KINDS.index("random")
-    reached = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    reached = F.max(F.when(base, F.col("end"))).over(forth.rowsBetween(*before))
+    ahead = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(*before))
     apart = spans.withColumns({"reached": reached, "ahead": ahead}).filter(
         base | (F.coalesce(F.col("reached") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("ahead") >= F.col("end"), F.lit(True))))
     per_row = apart.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))

@@ -122,5 +122,5 @@ def test_time_follows_the_length(spark, model):
         return time.time() - start
 
     seconds(500)
-    small, large = seconds(20000), seconds(80000)
+    small, large = seconds(5000), seconds(20000)
     assert large < 4 * 1.7 * small + 2
