@@ -96,6 +96,40 @@ def rollback(profiles: DataFrame, history: DataFrame, which: Column, cols: list[
     ).drop(*[f"_h_{c}" for c in (*cols, "profile_version")])
 
 
+def restore(
+    profiles: DataFrame, history: DataFrame, which: Column, schemas: dict[int, str], scalars: tuple[str, ...], keys: tuple[str, ...] = ("entity_key",),
+) -> DataFrame:
+    """Restore profiles from the newest matching snapshot, as whole as it was stored; adds `restored`: full, scalars or null.
+
+    `history` has profile_json with schema_version, whose columns `schemas` names per version (DDL); columns that a version did
+    not have yet keep their present values. A snapshot without the document, with a broken one or of an unknown version gives its
+    scalars alone, and the profile says `rolled_back`. Other profiles stay as they are.
+    """
+    snap = latest(history.where(which), list(keys), ("snapshot_ts", "profile_version"))
+    documents = {v: F.from_json("profile_json", ddl) for v, ddl in schemas.items()}
+    broken = F.lit(False)
+    for v in schemas:  # a broken document has none of its keys
+        broken = F.when(F.col("schema_version") == v, F.col(f"_d{v}.{keys[0]}").isNull()).otherwise(broken)
+    usable = F.col("schema_version").isin(list(schemas)) & F.col("profile_json").isNotNull() & ~broken
+    snap = snap.withColumns({f"_d{v}": d for v, d in documents.items()})
+    snap = snap.select(*keys, F.when(usable, "full").otherwise("scalars").alias("restored"), F.col("schema_version").alias("_v"), *[f"_d{v}" for v in schemas],
+                       *[F.col(c).alias(f"_s_{c}") for c in (*scalars, "profile_version")])
+    fields = {v: set(snap.schema[f"_d{v}"].dataType.fieldNames()) for v in schemas}
+    joined = profiles.join(snap, list(keys), "left")
+
+    def value(c: str) -> Column:
+        out = F.col(c)
+        for v in schemas:
+            if c in fields[v]:
+                out = F.when((F.col("restored") == "full") & (F.col("_v") == v), F.col(f"_d{v}.{c}")).otherwise(out)
+        return F.when(F.col("restored") == "scalars", F.col(f"_s_{c}")).otherwise(out) if c in scalars else out
+
+    columns = {c: value(c) for c in profiles.columns if c not in (*keys, "profile_version", "retrain_reason")}
+    columns["profile_version"] = F.coalesce("_s_profile_version", "profile_version")
+    columns["retrain_reason"] = F.when(F.col("restored") == "scalars", "rolled_back").otherwise(F.col("retrain_reason"))
+    return joined.withColumns(columns).select(*profiles.columns, "restored")
+
+
 def versions(history: DataFrame, key: str = "entity_key") -> DataFrame:
     """Snapshots of every entity in order of time."""
     w = Window.partitionBy(key).orderBy("snapshot_ts", "profile_version")

@@ -12,7 +12,7 @@ from habitus.plans.ctes import CLEAN, PROFILE_BASE, SANE, TXN, UNIQ, with_
 from habitus.plans.profiling import CCY, CUT, clean_rows, dsum, earlier
 from habitus.plans.registry import query
 from habitus.session import scratch
-from habitus.sources import csv as C, ingest as I, logs as J, sinks as K
+from habitus.sources import csv as C, ingest as I, logs as J, sinks as K, stored as T
 from habitus.sources.tables import event_stream_table, load, transactions
 
 ASOF = "(SELECT max(ts) FROM txn)"
@@ -70,6 +70,10 @@ OLD = f"old AS (SELECT id, version, amount, status FROM txn WHERE ts < TIMESTAMP
 DELTA = "delta AS (SELECT id, version, amount, 'reviewed' AS status FROM txn WHERE ts >= TIMESTAMP '2000-01-01')"
 
 
+OLDT = OLD.replace("old AS", "oldt AS").replace("amount, status FROM", "amount, status, ts FROM")
+DELTAT = "deltat AS (SELECT id, version, amount, 'reviewed' AS status, ts FROM txn WHERE ts >= TIMESTAMP '2000-05-01')"
+
+
 def stored_and_delta(spark, d):
     txn = transactions(spark, d).select("id", "version", "amount", "status", "ts")
     old = L.latest(txn.where("ts < TIMESTAMP '2000-06-01'"), ["id"], ("version", "amount")).drop("ts")
@@ -115,6 +119,37 @@ def s09(spark, d):
     return I.advance_watermark(state, I.pull_new(transactions(spark, d), 1000), "sales")
 
 
+# every second event starts an attempt of a source, and the next one ends it, unless it crashed
+ATTEMPTS = """att AS (SELECT event_id // 2 AS attempt, concat('s', event_id // 2 % 50) AS source, event_id // 2 * 10 AS last_id, event_id % 7 AS n, ts, event_id % 2 = 1 AND event_id % 11 <> 0 AS ends, event_id % 5 = 0 AS fails FROM events),
+one AS (SELECT source, attempt, max(last_id) FILTER (WHERE ends AND NOT fails) AS last_id, max(n) FILTER (WHERE ends AND NOT fails) AS n, max(ts) FILTER (WHERE ends AND NOT fails) AS newest, bool_or(ends) AS ended, bool_or(ends AND fails) AS failed FROM att GROUP BY 1, 2)"""
+
+
+@query("s09_sync_attempts", with_(ATTEMPTS) + """SELECT source, coalesce(max(last_id), 0) AS last_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows_total, max(newest) AS newest, max(attempt) AS last_attempt,
+  CASE WHEN NOT arg_max(ended, attempt) THEN 'running' WHEN arg_max(failed, attempt) THEN 'failed' WHEN arg_max(coalesce(n, 0), attempt) > 0 THEN 'ok' ELSE 'idle' END AS last_status,
+  CASE WHEN arg_max(failed, attempt) THEN concat('attempt ', max(attempt), ' broke off') END AS last_detail, count(*) FILTER (WHERE NOT ended AND attempt < mx) AS crashed
+  FROM one JOIN (SELECT source, max(attempt) AS mx FROM one GROUP BY 1) USING (source) GROUP BY source""")
+def s09_attempts(spark, d):
+    at = load(spark, d, "events").select((F.expr("event_id DIV 2")).alias("attempt"), "event_id", "ts").withColumn("source", F.concat(F.lit("s"), F.col("attempt") % 50))
+    ends, fails = (F.col("event_id") % 2 == 1) & (F.col("event_id") % 11 != 0), F.col("event_id") % 5 == 0
+    phase = F.when(~ends, "started").when(fails, "failed").otherwise("committed")
+    done = phase == "committed"
+    log = at.select("source", "attempt", phase.alias("phase"), F.when(done, F.col("attempt") * 10).alias("last_id"), F.when(done, F.col("event_id") % 7).alias("rows"), F.when(done, F.col("ts")).alias("newest"),
+                    F.when(phase == "failed", F.concat(F.lit("attempt "), "attempt", F.lit(" broke off"))).alias("detail"))
+    return T.sync_state(log)
+
+
+@query("s07_stored_days", with_(TXN, OLDT, DELTAT) + """SELECT id, version, amount, status FROM (SELECT id, version, amount, status, ts FROM deltat QUALIFY row_number() OVER (PARTITION BY id, CAST(ts AS DATE) ORDER BY version DESC, amount DESC) = 1
+  UNION ALL SELECT id, version, amount, status, ts FROM oldt WHERE (id, CAST(ts AS DATE)) NOT IN (SELECT (id, CAST(ts AS DATE)) FROM deltat)) WHERE ts >= TIMESTAMP '1999-06-15 12:00:00'""")
+def s07_days(spark, d):
+    """A table by day, a delta merged into the days it touches, and everything before a moment dropped."""
+    path = scratch(spark, "days")
+    txn = transactions(spark, d).select("id", "version", "amount", "status", "ts")
+    T.write_days(L.latest(txn.where("ts < TIMESTAMP '2000-06-01'"), ["id"], ("version", "amount")), path)
+    T.merge_days(spark, path, txn.where("ts >= TIMESTAMP '2000-05-01'").withColumn("status", F.lit("reviewed")), ["id"], ("version", "amount"))
+    T.prune_days(spark, path, "1999-06-15 12:00:00")
+    return spark.read.parquet(path).select("id", "version", "amount", "status")
+
+
 @query("s10_remaining", with_(TXN) + f"SELECT count(*) AS remaining FROM txn WHERE id > {MID} AND ts >= {ASOF} - INTERVAL 12 MONTH")
 def s10(spark, d):
     txn = transactions(spark, d)
@@ -128,6 +163,12 @@ def s11(spark, d):
     return I.load_ml(txn, newest(txn), 24, sample=0.25).select("customer_key", "transaction_id", "version", "amount")
 
 
+@query("s11_full_load", with_(TXN) + f"SELECT customer_key, transaction_id, version, amount FROM txn WHERE identifier IS NOT NULL AND ts >= {ASOF} - INTERVAL 24 MONTH")
+def s11_full(spark, d):
+    txn = transactions(spark, d)
+    return I.load_ml(txn, newest(txn), 24).select("customer_key", "transaction_id", "version", "amount")
+
+
 PREVNEW = f"""pv AS (SELECT entity_key, count(*) AS total, 1 AS profile_version FROM clean WHERE ts < {CUT} GROUP BY 1),
 nw AS (SELECT entity_key, count(*) AS total, 2 AS profile_version, count(*) FILTER (WHERE ts >= {CUT}) >= 3 AS changed, max(ts) >= TIMESTAMP '1999-06-01' AS seen FROM clean GROUP BY 1)"""
 
@@ -150,6 +191,18 @@ def s12(spark, d):
     return K.publish_profiles(prev, new, touched, "run2", prune=True)
 
 
+@query("s12_stored_profiles", with_(*PROFILE_BASE, PREVNEW) + """SELECT entity_key, total, profile_version, 'run2' AS run_id FROM nw WHERE changed AND seen
+UNION ALL SELECT p.entity_key, p.total, p.profile_version, 'run2' FROM pv p JOIN nw USING (entity_key) WHERE NOT changed AND seen
+UNION ALL SELECT entity_key, total, profile_version, 'run1' FROM pv WHERE entity_key NOT IN (SELECT entity_key FROM nw WHERE seen)""")
+def s12_stored(spark, d):
+    """Two runs publish to one table, the second without pruning."""
+    path = scratch(spark, "store")
+    prev, new, touched = publish_inputs(spark, d)
+    T.store_profiles(spark, path, "run1", prev.drop("run_id"), prev.where("false"))
+    T.store_profiles(spark, path, "run2", new, touched, prune=False)
+    return T.current_profiles(spark, path).select("entity_key", "total", "profile_version", "run_id")
+
+
 @query("j04_stale_profiles", with_(*PROFILE_BASE, PREVNEW) + "SELECT entity_key FROM pv WHERE entity_key NOT IN (SELECT entity_key FROM nw WHERE seen)")
 def j04_stale(spark, d):
     prev, new, touched = publish_inputs(spark, d)
@@ -310,6 +363,33 @@ def o07(spark, d):
     return V.rollback(current, history, F.col("run_id") == "run1", ["total_tx_count"])
 
 
+# the first run stored whole profiles of entities with an even number of transactions, under a schema without n_days; of others, scalars
+FULL = f"""a AS (SELECT entity_key, count(*) AS total_tx_count, {dsum()} AS total_tx_amount, list_sort(list(DISTINCT lower(trim(transaction_type)))) AS types FROM clean WHERE ts < {CUT} GROUP BY 1),
+b AS (SELECT entity_key, count(*) AS total_tx_count, {dsum()} AS total_tx_amount, list_sort(list(DISTINCT lower(trim(transaction_type)))) AS types, count(DISTINCT CAST(ts AS DATE)) AS n_days FROM clean GROUP BY 1)"""
+
+
+@query("o07_full_restore", with_(*PROFILE_BASE, FULL) + """SELECT b.entity_key, coalesce(a.total_tx_count, b.total_tx_count) AS total_tx_count, coalesce(a.total_tx_amount, b.total_tx_amount) AS total_tx_amount,
+  array_to_string(CASE WHEN a.total_tx_count % 2 = 0 THEN a.types ELSE b.types END, ',') AS types, b.n_days, CASE WHEN a.entity_key IS NULL THEN 2 ELSE 1 END AS profile_version,
+  CASE WHEN a.total_tx_count % 2 = 1 THEN 'rolled_back' END AS retrain_reason, CASE a.total_tx_count % 2 WHEN 0 THEN 'full' WHEN 1 THEN 'scalars' END AS restored FROM b LEFT JOIN a USING (entity_key)""")
+def o07_full(spark, d):
+    path = scratch(spark, "history")
+    clean = clean_rows(spark, d)
+
+    def profiles(rows, version):
+        kinds = F.array_sort(F.collect_set(F.lower(F.trim("transaction_type"))))  # a handful of types
+        return rows.groupBy("entity_key").agg(F.count("*").alias("total_tx_count"), exact_sum("amount").alias("total_tx_amount"), kinds.alias("types"),
+                                              F.count_distinct(F.to_date("ts")).alias("n_days")).withColumn("profile_version", F.lit(version))
+
+    old = profiles(earlier(clean), 1).drop("n_days")
+    K.append_history(old.where("total_tx_count % 2 = 0"), "run1", path, full=True)
+    K.append_history(old.where("total_tx_count % 2 = 1"), "run1b", path)
+    history = K.read_history(spark, path).withColumn("snapshot_ts", F.lit(0))
+    current = profiles(clean, 2).withColumn("retrain_reason", F.lit(None).cast("string"))
+    schemas = {1: "entity_key string, total_tx_count long, total_tx_amount double, types array<string>"}
+    out = V.restore(current, history, F.col("run_id").isin("run1", "run1b"), schemas, ("total_tx_count", "total_tx_amount"))
+    return out.withColumn("types", F.array_join("types", ","))
+
+
 @query("o08_profile_versions", with_(*PROFILE_BASE, HIST) + "SELECT entity_key, profile_version, run_id, total_tx_count, row_number() OVER (PARTITION BY entity_key ORDER BY snapshot_ts, profile_version) AS seq FROM hs")
 def o08(spark, d):
     return V.versions(histories(clean_rows(spark, d))).select("entity_key", "profile_version", "run_id", "total_tx_count", "seq")

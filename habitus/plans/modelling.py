@@ -186,7 +186,7 @@ def a20(spark, d):
     return B.population_baseline(training(spark, d)).select(F.round("amt_median", 4).alias("amt_median"), F.round("amt_p95", 4).alias("amt_p95"))
 
 
-DRIFT_CTE = """ref AS (SELECT * FROM sane WHERE ts < TIMESTAMP '2000-01-01'), cur AS (SELECT * FROM sane WHERE ts >= TIMESTAMP '2000-01-01' AND amount >= 20000),
+DRIFT_CTE = """ref AS (SELECT * FROM sane WHERE ts < TIMESTAMP '2000-01-01'), cur AS (SELECT * FROM sane WHERE ts >= TIMESTAMP '2000-01-01'),
 edges AS (SELECT list_sort(list_distinct(quantile_cont(amount, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM ref),
 rb AS (SELECT least(len(list_filter(e, lambda x: x <= amount)), len(e) - 1) AS b, count(*) AS n FROM ref, edges WHERE amount >= e[1] AND amount <= e[-1] GROUP BY 1),
 cb AS (SELECT least(len(list_filter(e, lambda x: x <= amount)), len(e) - 1) AS b, count(*) AS n FROM cur, edges WHERE amount >= e[1] AND amount <= e[-1] GROUP BY 1),
@@ -206,7 +206,7 @@ def a18(spark, d):
 def a18_psi(spark, d):
     sane = L.sane_amount(transactions(spark, d))
     mark = B.watermark_of(sane.where("ts < TIMESTAMP '2000-01-01'"))
-    cur = B.bin_shares(sane.where("ts >= TIMESTAMP '2000-01-01' AND amount >= 20000"), mark.select("edges").scalar())
+    cur = B.bin_shares(sane.where("ts >= TIMESTAMP '2000-01-01'"), mark.select("edges").scalar())
     return cur.withColumn("ref", mark.select("ref_share").scalar()).select(F.round(B.psi(F.col("ref"), F.col("share")), 6).alias("psi"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from habitus.config import Settings
+from habitus.config import DEFAULTS, Settings
 from habitus.functions.maps import map_text
 from habitus.functions.normalize import exact_sum, normalize_currency
 from habitus.operators import analyst as A, baseline as B, filters as L, monitor as M, profile as P
@@ -67,11 +67,13 @@ def o02(spark, d):
 
 
 @query("o05_model_retrain_trigger", with_(TXN, SANE, DRIFT_CTE) + """, ps AS (SELECT round(sum(((c + 1e-6) - (r + 1e-6)) * ln((c + 1e-6) / (r + 1e-6))), 4) AS p FROM fr)
-SELECT (SELECT count(*) FROM cur) AS new_transactions, (epoch_us((SELECT max(ts) FROM sane)) - epoch_us((SELECT max(ts) FROM ref))) // 86400000000 AS age_days, p AS amount_psi, true AS should_retrain, 3 AS n_reasons FROM ps""")
+SELECT *, n_reasons > 0 AS should_retrain FROM (SELECT *, (new_transactions >= {new})::INT + (age_days >= {days})::INT + (amount_psi >= {psi})::INT AS n_reasons FROM
+  (SELECT (SELECT count(*) FROM cur) AS new_transactions, (epoch_us((SELECT max(ts) FROM sane)) - epoch_us((SELECT max(ts) FROM ref))) // 86400000000 AS age_days, p AS amount_psi FROM ps))""".format(
+    new=DEFAULTS.retrain_min_new, days=DEFAULTS.retrain_max_age_days, psi=DEFAULTS.psi_threshold))
 def o05(spark, d):
     sane = L.sane_amount(transactions(spark, d))
     mark = B.watermark_of(sane.where("ts < TIMESTAMP '2000-01-01'"))
-    later = sane.where("ts >= TIMESTAMP '2000-01-01' AND amount >= 20000")
+    later = sane.where("ts >= TIMESTAMP '2000-01-01'")
     return M.model_retrain_trigger(mark, later, P.newest(sane)).select("new_transactions", "age_days", "amount_psi", "should_retrain", F.size("reasons").alias("n_reasons"))
 
 

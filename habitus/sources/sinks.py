@@ -20,11 +20,12 @@ def publish_profiles(prev: DataFrame, new: DataFrame, touched: DataFrame, run_id
     return out if prune else out.unionByName(others.join(touched.select(*k), k, "left_anti"), allowMissingColumns=True)
 
 
-def append_history(profiles: DataFrame, run_id: str, path: str, full: bool = False) -> None:
-    """Append a snapshot of a run; `full` stores the whole profile as JSON beside the scalars. Re-running a run replaces it."""
+def append_history(profiles: DataFrame, run_id: str, path: str, full: bool = False, schema_version: int = 1) -> None:
+    """Append a snapshot of a run; `full` stores the whole profile as JSON beside the scalars, under its schema version. Re-running
+    a run replaces it."""
     scalars = ("entity_key", "currency", "profile_version", "total_tx_count", "total_tx_amount", "avg_amount", "decayed_avg_amount")
     snapshot = profiles.select(
-        *[c for c in scalars if c in profiles.columns], (F.to_json(F.struct("*")) if full else F.lit(None).cast("string")).alias("profile_json"))
+        *[c for c in scalars if c in profiles.columns], (F.to_json(F.struct("*")) if full else F.lit(None).cast("string")).alias("profile_json"), F.lit(schema_version).alias("schema_version"))
     snapshot.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
