@@ -138,15 +138,15 @@ def s09_attempts(spark, d):
     return T.sync_state(log)
 
 
-@query("s07_stored_days", with_(TXN, OLDT, DELTAT) + """SELECT id, version, amount, status FROM (SELECT id, version, amount, status, ts FROM deltat QUALIFY row_number() OVER (PARTITION BY id, CAST(ts AS DATE) ORDER BY version DESC, amount DESC) = 1
-  UNION ALL SELECT id, version, amount, status, ts FROM oldt WHERE (id, CAST(ts AS DATE)) NOT IN (SELECT (id, CAST(ts AS DATE)) FROM deltat)) WHERE ts >= TIMESTAMP '1999-06-15 12:00:00'""")
+@query("s07_stored_days", with_(TXN, OLDT, DELTAT) + """SELECT id, version, amount, status FROM (SELECT id, version, amount, status, ts FROM deltat QUALIFY row_number() OVER (PARTITION BY id, date_trunc('month', ts) ORDER BY version DESC, amount DESC) = 1
+  UNION ALL SELECT id, version, amount, status, ts FROM oldt WHERE (id, date_trunc('month', ts)) NOT IN (SELECT (id, date_trunc('month', ts)) FROM deltat)) WHERE ts >= TIMESTAMP '1999-06-15 12:00:00'""")
 def s07_days(spark, d):
-    """A table by day, a delta merged into the days it touches, and everything before a moment dropped."""
+    """A table by month, a delta merged into the months it touches, and everything before a moment dropped."""
     path = scratch(spark, "days")
     txn = transactions(spark, d).select("id", "version", "amount", "status", "ts")
-    T.write_days(L.latest(txn.where("ts < TIMESTAMP '2000-06-01'"), ["id"], ("version", "amount")), path)
-    T.merge_days(spark, path, txn.where("ts >= TIMESTAMP '2000-05-01'").withColumn("status", F.lit("reviewed")), ["id"], ("version", "amount"))
-    T.prune_days(spark, path, "1999-06-15 12:00:00")
+    T.write_days(L.latest(txn.where("ts < TIMESTAMP '2000-06-01'"), ["id"], ("version", "amount")), path, unit="month")
+    T.merge_days(spark, path, txn.where("ts >= TIMESTAMP '2000-05-01'").withColumn("status", F.lit("reviewed")), ["id"], ("version", "amount"), unit="month")
+    T.prune_days(spark, path, "1999-06-15 12:00:00", unit="month")
     return spark.read.parquet(path).select("id", "version", "amount", "status")
 
 

@@ -30,23 +30,28 @@ def partitions(spark: SparkSession, path: str, name: str) -> dict[str, object]:
 
 # --- transactions by day ---------------------------------------------------------------------------------------------------------
 
-def write_days(df: DataFrame, path: str, ts: str = "ts") -> None:
+def day_of(ts: Column | str, unit: str = "day") -> Column:
+    """The partition of a moment: its day, or the first day of its month where rows are few."""
+    return F.to_date(F.date_trunc(unit, ts))
+
+
+def write_days(df: DataFrame, path: str, ts: str = "ts", unit: str = "day") -> None:
     """Replace the days that df has rows of; other days stay. A day's rows meet in one file, or more where the day is large."""
-    df.withColumn("day", F.to_date(ts)).hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    df.withColumn("day", day_of(ts, unit)).hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
-def since(df: DataFrame, start: Column, ts: str = "ts") -> DataFrame:
+def since(df: DataFrame, start: Column, ts: str = "ts", unit: str = "day") -> DataFrame:
     """Rows from a moment on; earlier days are not read at all."""
-    return df.where((F.col("day") >= F.to_date(start)) & (F.col(ts) >= start))
+    return df.where((F.col("day") >= day_of(start, unit)) & (F.col(ts) >= start))
 
 
-def merge_days(spark: SparkSession, path: str, delta: DataFrame, keys: list[str], order: tuple[str, ...], ts: str = "ts") -> None:
+def merge_days(spark: SparkSession, path: str, delta: DataFrame, keys: list[str], order: tuple[str, ...], ts: str = "ts", unit: str = "day") -> None:
     """Upsert into a table by day: only days that the delta touches are read and written again.
 
     A row keeps its day. The number of days is that of a calendar, so they may be listed on the driver. The next state of these days is
     stored before it replaces them, because a job cannot read what it overwrites.
     """
-    dated = delta.withColumn("day", F.to_date(ts))
+    dated = delta.withColumn("day", day_of(ts, unit))
     days = [r["day"] for r in dated.select("day").distinct().collect()]
     if not days:
         return
@@ -55,22 +60,23 @@ def merge_days(spark: SparkSession, path: str, delta: DataFrame, keys: list[str]
         known = F.col("day").isin([d for d in days if d is not None])
         touched = spark.read.parquet(path).where(known | F.col("day").isNull() if None in days else known)
     base = touched.select(*dated.columns) if touched is not None else dated.where("false")
-    write_days(materialize(upsert(base, dated, ["day", *keys], order), "days").drop("day"), path, ts)
+    write_days(materialize(upsert(base, dated, ["day", *keys], order), "days").drop("day"), path, ts, unit)
 
 
-def prune_days(spark: SparkSession, path: str, start: str, ts: str = "ts") -> int:
-    """Drop rows before a moment (text like 2000-01-31 12:00:00): earlier days as folders, and the day itself rewritten. Returns the number of folders."""
+def prune_days(spark: SparkSession, path: str, start: str, ts: str = "ts", unit: str = "day") -> int:
+    """Drop rows before a moment (text like 2000-01-31 12:00:00): earlier days as folders, and the moment's own day rewritten.
+    Returns the number of folders dropped."""
     fs, _ = folder(spark, path)
-    day = start[:10]
+    day = start[:10] if unit == "day" else f"{start[:7]}-01"
     early = [p for value, p in partitions(spark, path, "day").items() if len(value) == 10 and value < day]
     for p in early:
         fs.delete(p, True)
-    if day in partitions(spark, path, "day") and start[10:].strip(" 0:T"):
+    if day in partitions(spark, path, "day") and (start[:10] != day or start[10:].strip(" 0:T")):
         kept = materialize(spark.read.parquet(path).where((F.col("day") == F.lit(day).cast("date")) & (F.col(ts) >= F.lit(start).cast("timestamp"))), "days")
         if kept.isEmpty():
             fs.delete(partitions(spark, path, "day")[day], True)
         else:
-            write_days(kept.drop("day"), path, ts)
+            write_days(kept.drop("day"), path, ts, unit)
     return len(early)
 
 
