@@ -27,6 +27,15 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return r.agg(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 
+def roc_auc_by(df: DataFrame, keys: tuple[str, ...], label: str, score: str) -> DataFrame:
+    """roc_auc of each of a few large groups."""
+    y = F.col(label).cast("int")
+    counts = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    r = running_sums(counts, "score", ["pos", "neg"], keys, few=True)
+    wins = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2.0))
+    return r.groupBy(*keys).agg(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
+
+
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """One point per distinct threshold: rates of rows at or above it."""
     r = ranked_counts(df, label, score)

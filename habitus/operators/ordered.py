@@ -61,13 +61,13 @@ def split(df: DataFrame, x: str, label: str) -> DataFrame:
 
 
 def running_sums(
-    df: DataFrame, order: str, measures: list[str], keys: tuple[str, ...] = (), tie: tuple[str, ...] = (),
+    df: DataFrame, order: str, measures: list[str], keys: tuple[str, ...] = (), tie: tuple[str, ...] = (), few: bool = False,
 ) -> DataFrame:
     """Add `<m>_before` (sum over earlier rows of the group) and `<m>_total` for every measure.
 
-    Rows must be unique per (keys, order, tie); keys must not be null.
+    Rows must be unique per (keys, order, tie); keys must not be null. `few` says that the groups are few and large.
     """
-    rows = binned(df, order, keys, "ordered")
+    rows = split(df, order, "ordered") if few else binned(df, order, keys, "ordered")
     per_bin = rows.groupBy(*keys, "_bin").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)

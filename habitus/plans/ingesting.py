@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from habitus.config import FEATURES, Settings
+from habitus.config import Settings
 from habitus.functions.maps import json_to_map, map_text, map_to_json
 from habitus.functions.normalize import exact_sum
-from habitus.operators import filters as L, govern as V, profile as P
-from habitus.plans.ctes import CLEAN, PROFILE_BASE, SANE, TXN, UNIQ, with_
+from habitus.operators import filters as L, govern as V, profile as P, walkforward as W
+from habitus.plans.ctes import CLEAN, LABELLED, PROFILE_BASE, SANE, TXN, UNIQ, VALID, with_
 from habitus.plans.profiling import CCY, CUT, clean_rows, dsum, earlier
 from habitus.plans.registry import query
-from habitus.session import scratch
+from habitus.session import materialize, scratch
 from habitus.sources import csv as C, ingest as I, logs as J, sinks as K, stored as T
 from habitus.sources.tables import event_stream_table, load, transactions
 
@@ -395,35 +395,59 @@ def o08(spark, d):
     return V.versions(histories(clean_rows(spark, d))).select("entity_key", "profile_version", "run_id", "total_tx_count", "seq")
 
 
-MODELS = """md AS (SELECT concat('m', n_nationkey) AS version, n_nationkey AS seq, 0.7 + (n_nationkey * 7 % 25) / 100.0::DOUBLE AS synthetic_auc, (n_nationkey * 3 % 10) / 100.0::DOUBLE AS precision FROM nation)"""
+# one model a month of the transactions, judged on the month after; a clean row's anomaly is 2 to 10 times its amount
+FACTOR = "2e0 + 8e0 * (id % 97) / 96e0"
+MODELS = f"""lg AS (SELECT date_trunc('month', ts) AS month, ln(amount) AS x, bad, {FACTOR} AS factor FROM labelled),
+ft AS (SELECT month, med AS centre, CASE WHEN hi > lo THEN hi - lo ELSE 1.0 END AS spread, row_number() OVER (ORDER BY month) AS seq FROM
+  (SELECT month, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.25) AS lo, quantile_cont(x, 0.75) AS hi FROM lg WHERE NOT bad GROUP BY 1)),
+ct AS (SELECT month, quantile_cont(abs(x - centre) / spread, 0.95) AS cut FROM lg JOIN ft USING (month) WHERE NOT bad GROUP BY 1),
+ju AS (SELECT strftime(a.month, '%Y-%m') AS version, a.seq, abs(x - a.centre) / a.spread AS d, abs(x + ln(factor) - a.centre) / a.spread AS s, bad, cut
+  FROM ft a JOIN ct ON ct.month = a.month JOIN ft b ON b.seq = a.seq + 1 JOIN lg ON lg.month = b.month),
+rk AS (SELECT version, y, rank() OVER (PARTITION BY version ORDER BY r) + (count(*) OVER (PARTITION BY version, r) - 1) / 2.0::DOUBLE AS k FROM
+  (SELECT version, d AS r, 0 AS y FROM ju WHERE NOT bad UNION ALL SELECT version, s, 1 FROM ju WHERE NOT bad)),
+au AS (SELECT version, (sum(k) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0))::DOUBLE AS auc FROM rk GROUP BY 1),
+md AS (SELECT version, seq, auc AS synthetic_auc, n_rows, CASE WHEN flagged > 0 THEN tp / flagged::DOUBLE END AS precision, CASE WHEN bads > 0 THEN tp / bads::DOUBLE END AS recall, CASE WHEN flagged + bads > 0 THEN 2 * tp / (flagged + bads)::DOUBLE END AS f1 FROM
+  (SELECT version, seq, count(*) AS n_rows, count(*) FILTER (WHERE bad AND d >= cut) AS tp, count(*) FILTER (WHERE d >= cut) AS flagged, count(*) FILTER (WHERE bad) AS bads FROM ju GROUP BY 1, 2) LEFT JOIN au USING (version))"""
+MODEL_SQL = (TXN, VALID, LABELLED, MODELS)
 
 
 def manifests(spark, d):
-    return load(spark, d, "nation").select(
-        F.concat(F.lit("m"), "n_nationkey").alias("version"), F.col("n_nationkey").alias("seq"),
-        (0.7 + F.expr("(n_nationkey * 7 % 25) / 100D")).alias("synthetic_auc"), F.expr("(n_nationkey * 3 % 10) / 100D").alias("precision"), F.lit(None).cast("double").alias("f1"))
+    from habitus.plans.modelling import labelled
 
+    rows = materialize(labelled(spark, d).select("ts", "amount", "bad", "id"), "labelled")
+    return materialize(W.judge_months(rows, materialize(W.train_months(rows), "models"), F.expr(FACTOR)), "registry")
 
-@query("m13_promotion_gate", with_(MODELS) + """SELECT version, round(lag(best) OVER (ORDER BY seq), 9) AS active_auc, synthetic_auc >= coalesce(lag(best) OVER (ORDER BY seq), 0) AS promoted FROM
+
+@query("m13_monthly_models", with_(*MODEL_SQL) + "SELECT version, seq, round(synthetic_auc, 9) AS synthetic_auc, n_rows, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM md")
+def m13_models(spark, d):
+    return manifests(spark, d).select("version", "seq", "n_rows", *[F.round(c, 9).alias(c) for c in ("synthetic_auc", "precision", "recall", "f1")])
+
+
+@query("m13_promotion_gate", with_(*MODEL_SQL) + """SELECT version, round(lag(best) OVER (ORDER BY seq), 9) AS active_auc, synthetic_auc >= coalesce(lag(best) OVER (ORDER BY seq), 0) AS promoted FROM
   (SELECT *, max(synthetic_auc) OVER (ORDER BY seq) AS best FROM md)""")
 def m13(spark, d):
     return V.promotion_history(manifests(spark, d)).select("version", F.round("active_auc", 9).alias("active_auc"), "promoted")
 
 
-@query("o03_model_health", with_(MODELS) + """SELECT version, synthetic_auc >= 0.75 AND precision >= 0.02 AS healthy, array_to_string(list_filter([CASE WHEN synthetic_auc < 0.75 THEN format('synthetic-anomaly AUC {:.3f} < floor 0.75', synthetic_auc) END,
+@query("o03_model_health", with_(*MODEL_SQL) + """SELECT version, synthetic_auc >= 0.75 AND precision >= 0.02 AS healthy, array_to_string(list_filter([CASE WHEN synthetic_auc < 0.75 THEN format('synthetic-anomaly AUC {:.3f} < floor 0.75', synthetic_auc) END,
   CASE WHEN precision < 0.02 THEN format('precision {:.3f} < floor 0.02', precision) END], lambda x: x IS NOT NULL), '; ') AS problems FROM md""")
 def o03(spark, d):
     return V.health(manifests(spark, d)).select("version", "healthy", F.array_join("problems", "; ").alias("problems"))
 
 
-@query("o09_performance_history", with_(MODELS) + """SELECT version, round(synthetic_auc - lag(synthetic_auc) OVER (ORDER BY seq), 9) AS auc_change, round(avg(synthetic_auc) OVER (ORDER BY seq ROWS 4 PRECEDING), 9) AS auc_trend FROM md""")
+@query("o09_performance_history", with_(*MODEL_SQL) + """SELECT version, round(synthetic_auc - lag(synthetic_auc) OVER (ORDER BY seq), 9) AS auc_change, round(avg(synthetic_auc) OVER (ORDER BY seq ROWS 4 PRECEDING), 9) AS auc_trend FROM md""")
 def o09(spark, d):
     return V.performance_history(manifests(spark, d)).select("version", F.round("auc_change", 9).alias("auc_change"), F.round("auc_trend", 9).alias("auc_trend"))
 
 
-@query("m15_schema_guard", "SELECT concat('m', n_nationkey) AS version, CASE WHEN n_nationkey % 3 = 1 THEN 'mismatch' WHEN n_nationkey >= 20 THEN 'equal' ELSE 'prefix' END AS state FROM nation")
+# what a customer's model would have seen as transaction types, in order of their first day, against the order of all customers
+@query("m15_schema_guard", with_(TXN) + """, o AS (SELECT lower(trim(transaction_type)) AS t, row_number() OVER (ORDER BY CAST(min(ts) AS DATE), lower(trim(transaction_type))) AS i FROM txn GROUP BY 1),
+g AS (SELECT list(t ORDER BY i) AS running FROM o), c AS (SELECT customer_key, list(t ORDER BY f, i) AS stored FROM (SELECT customer_key, lower(trim(transaction_type)) AS t, CAST(min(ts) AS DATE) AS f FROM txn GROUP BY 1, 2) JOIN o USING (t) GROUP BY 1)
+SELECT customer_key, CASE WHEN stored = running THEN 'equal' WHEN stored = running[1:len(stored)] THEN 'prefix' ELSE 'mismatch' END AS state FROM c, g""")
 def m15(spark, d):
-    names = F.array(*[F.lit(f) for f in FEATURES])
-    kept = F.slice(names, 1, F.when(F.col("n_nationkey") >= 20, len(FEATURES)).otherwise(F.col("n_nationkey") + 1))
-    stored = F.when(F.col("n_nationkey") % 3 == 1, F.concat(F.array(F.lit("other")), kept)).otherwise(kept)
-    return load(spark, d, "nation").select(F.concat(F.lit("m"), "n_nationkey").alias("version"), V.schema_state(stored, list(FEATURES)).alias("state"))
+    rows = transactions(spark, d).select("customer_key", F.lower(F.trim("transaction_type")).alias("t"), F.to_date("ts").alias("day"))
+    running = [r["t"] for r in rows.groupBy("t").agg(F.min("day").alias("f")).orderBy("f", "t").collect()]  # a handful of types
+    place = F.array_position(F.array(*map(F.lit, running)), F.col("t"))
+    first = rows.groupBy("customer_key", "t").agg(F.min("day").alias("f"))
+    stored = first.groupBy("customer_key").agg(F.array_sort(F.collect_list(F.struct("f", place.alias("i"), "t"))).alias("s"))
+    return stored.select("customer_key", V.schema_state(F.col("s.t"), running).alias("state"))
