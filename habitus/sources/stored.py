@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from habitus.operators.filters import latest
 from habitus.session import materialize
 from habitus.sources.ingest import upsert
 from habitus.sources.sinks import publish_profiles
@@ -45,10 +46,10 @@ def since(df: DataFrame, start: Column, ts: str = "ts", unit: str = "day") -> Da
     return df.where((F.col("day") >= day_of(start, unit)) & (F.col(ts) >= start))
 
 
-def merge_days(spark: SparkSession, path: str, delta: DataFrame, keys: list[str], order: tuple[str, ...], ts: str = "ts", unit: str = "day") -> None:
+def merge_days(spark: SparkSession, path: str, delta: DataFrame, keys: list[str], order: tuple[str, ...], ts: str = "ts", unit: str = "day", keep_newest: bool = False) -> None:
     """Upsert into a table by day: only days that the delta touches are read and written again.
 
-    A row keeps its day. The number of days is that of a calendar, so they may be listed on the driver. The next state of these days is
+    A row keeps its day. The delta's rows replace stored ones, or, with keep_newest, the last of both in `order` stays. The number of days is that of a calendar, so they may be listed on the driver. The next state of these days is
     stored before it replaces them, because a job cannot read what it overwrites.
     """
     dated = delta.withColumn("day", day_of(ts, unit))
@@ -60,7 +61,8 @@ def merge_days(spark: SparkSession, path: str, delta: DataFrame, keys: list[str]
         known = F.col("day").isin([d for d in days if d is not None])
         touched = spark.read.parquet(path).where(known | F.col("day").isNull() if None in days else known)
     base = touched.select(*dated.columns) if touched is not None else dated.where("false")
-    write_days(materialize(upsert(base, dated, ["day", *keys], order), "days").drop("day"), path, ts, unit)
+    merged = latest(base.unionByName(dated), ["day", *keys], order) if keep_newest else upsert(base, dated, ["day", *keys], order)
+    write_days(materialize(merged, "days").drop("day"), path, ts, unit)
 
 
 def prune_days(spark: SparkSession, path: str, start: str, ts: str = "ts", unit: str = "day") -> int:
