@@ -244,24 +244,25 @@ def store(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def inspect(df: DataFrame) -> DataFrame:
-    """Parse the media column: hashes of payload and media, exact duration, frame offsets and a line of features.
+    """Parse the media column: hashes of payload and media, a line of features, the duration (duration_num / duration_den seconds, exactly, and
+    seconds as a number), and offsets, the byte at which each frame starts.
 
     Null media counts as empty: no frames, no payload.
     """
 
     def run(batch: pa.RecordBatch):
-        rows: list[list] = [[] for _ in range(8)]
+        rows: list[list] = [[] for _ in range(10)]
         for data in (m or b"" for m in batch.column(2).to_pylist()):
             parsed = parse(data)
             payload = read_payload(data, parsed)
             values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(),
-                      feature(data, parsed), float(parsed["duration"]), [a for a, _ in parsed["frames"]])
+                      feature(data, parsed), parsed["duration"].numerator, parsed["duration"].denominator, float(parsed["duration"]), [a for a, _ in parsed["frames"]])
             for column, value in zip(rows, values):
                 column.append(value)
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64()))
-        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "offsets")
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
+        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_num", "duration_den", "seconds", "offsets")
         yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(r, k) for r, k in zip(rows, kinds))], ["doc_id", "n_bytes", *names])
 
     return per_batch(df.select("doc_id", "n_bytes", "media"), run, (
         f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-        "media_bytes long, media_sha256 string, feature string, seconds double, offsets array<bigint>"))
+        "media_bytes long, media_sha256 string, feature string, duration_num long, duration_den long, seconds double, offsets array<bigint>"))

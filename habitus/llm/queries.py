@@ -42,7 +42,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = stored(mpeg_audio.store(table(spark, sf_dir, "documents")), "media")
-    return mpeg_audio.inspect(media).drop("offsets")
+    return mpeg_audio.inspect(media)
 
 
 @query()

@@ -80,11 +80,15 @@ def test_rows(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, "x" * 2000, "c"), (3, "x" * 2000, "c"), (None, "é", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, media string")
     got = M.inspect(M.store(df)).collect()
+    media = {r.doc_id: r.media for r in M.store(df).collect()}
     assert sorted((r.doc_id or 0, r.n_bytes, r.payload_bytes) for r in got) == [(0, 2, 576), (1, 0, 576), (2, 0, 576), (3, 2000, 2304), (3, 2000, 2304)]
     for r in got:
         text = {k: t for k, t, _ in rows}[r.doc_id] or ""
         assert r.payload_sha256 == __import__("hashlib").sha256(M.padded(text.encode())).hexdigest()
         assert r.tail_crc32 == zlib.crc32(M.padded(text.encode())[-32:]) and r.seconds == r.payload_bytes / 16000
+        assert r.duration_num * 16000 == r.payload_bytes * r.duration_den and len(r.offsets) == r.payload_bytes // 576
+        data = bytes(media[r.doc_id])
+        assert all(data[a : a + 4] == M.FRAME_HEAD for a in r.offsets) and b"".join(data[a + M.BODY : a + M.BODY + 576] for a in r.offsets) == M.padded(text.encode())
     assert M.inspect(M.store(df.limit(0))).count() == 0
 
 
