@@ -15,7 +15,8 @@ HEADLINE = (
     "f06_dedup", "s05_upsert", "a01_profile_core", "a03_conditional_sums", "a04_distinct_beneficiaries", "a08_decayed_amounts", "a11_entropy",
     "a12_hour_histogram", "a16_peer_baseline", "j02_assembled_profile", "w04_top_values", "w01_velocity_sales", "w08_weighted_quantiles",
     "a17_model_baseline", "a19_graph_features", "x03_novelty", "x06_feature_matrix", "x07_blend", "x12_detection_reasons", "x13_narrative",
-    "w11_roc_auc", "m07_score_quantiles", "m08_tier_cuts", "x21_coordinate_waterfall", "o02_live_precision", "r02_live_velocity",
+    "w11_roc_auc", "m07_score_quantiles", "m08_tier_cuts", "x21_coordinate_waterfall", "o02_live_precision", "r02_live_velocity", "f11_history_window",
+    "x21_address_ranges", "m12_score_requests", "r10_status_corrections",
 )
 
 
