@@ -429,8 +429,8 @@ def m13(spark, d):
     return V.promotion_history(manifests(spark, d)).select("version", F.round("active_auc", 9).alias("active_auc"), "promoted")
 
 
-@query("o03_model_health", with_(*MODEL_SQL) + """SELECT version, synthetic_auc >= 0.75 AND precision >= 0.02 AS healthy, array_to_string(list_filter([CASE WHEN synthetic_auc < 0.75 THEN format('synthetic-anomaly AUC {:.3f} < floor 0.75', synthetic_auc) END,
-  CASE WHEN precision < 0.02 THEN format('precision {:.3f} < floor 0.02', precision) END], lambda x: x IS NOT NULL), '; ') AS problems FROM md""")
+@query("o03_model_health", with_(*MODEL_SQL) + """SELECT version, coalesce(synthetic_auc >= 0.75, true) AND coalesce(precision >= 0.02, true) AS healthy, array_to_string(list_filter([CASE WHEN synthetic_auc < 0.75 THEN format('synthetic-anomaly AUC {:.3f} < floor 0.75', round(synthetic_auc, 3)) END,
+  CASE WHEN precision < 0.02 THEN format('precision {:.3f} < floor 0.02', round(precision, 3)) END], lambda x: x IS NOT NULL), '; ') AS problems FROM md""")
 def o03(spark, d):
     return V.health(manifests(spark, d)).select("version", "healthy", F.array_join("problems", "; ").alias("problems"))
 
