@@ -24,31 +24,31 @@ MAPPED = "0" * 20 + "ffff"
 BITS = 128
 
 
-def ip_number(c: Column | str) -> Column:
-    """A well-formed IPv4 address as a number; null for anything else."""
-    ip = F.trim(as_column(c))
-    parts = F.split(ip, r"\.")
-    octets = [F.get(parts, F.lit(i)).try_cast("long") for i in range(4)]
-    number = reduce(lambda acc, o: acc * 256 + o, octets, F.lit(0).cast("long"))
-    formed = ip.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$")
-    return F.when(formed & (F.greatest(*octets) <= 255), number)
-
-
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once, so that long expressions stay small."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def ip_number(c: Column | str) -> Column:
+    """A well-formed IPv4 address as a number; null for anything else."""
+    def number(ip: Column) -> Column:
+        octets = F.transform(F.split(ip, r"\."), lambda p: p.try_cast("long"))
+        value = F.when(F.forall(octets, lambda o: o <= 255), F.aggregate(octets, F.lit(0).cast("long"), lambda acc, o: acc * 256 + o))
+        return F.when(ip.rlike(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$"), value)
+
+    return let(F.trim(as_column(c)), number)
+
+
 def _groups(side: Column) -> Column:
     return F.filter(F.split(side, ":"), lambda g: g != "")
 
 
 def ip6_key(c: Column | str) -> Column:
     """A well-formed IPv6 address as 32 hexadecimal digits, a zone left out; null for anything else."""
-    text = F.regexp_replace(F.lower(F.trim(as_column(c))), "(?<=.)%[^%]+$", "")
-    tail = ip_number(F.regexp_extract(text, r":([0-9.]+)$", 1))  # the last four bytes may be written as IPv4
-    as_groups = F.concat(F.regexp_extract(text, r"^(.*:)[0-9.]+$", 1), F.lower(F.hex(F.shiftright(tail, 16))), F.lit(":"), F.lower(F.hex(tail.bitwiseAND(F.lit(65535)))))
-    plain = F.when(F.contains(text, F.lit(".")), as_groups).otherwise(text)
+    def plain(text: Column) -> Column:
+        tail = ip_number(F.regexp_extract(text, r":([0-9.]+)$", 1))  # the last four bytes may be written as IPv4
+        low = let(tail, lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(65535))))))
+        return F.when(F.contains(text, F.lit(".")), F.concat(F.regexp_extract(text, r"^(.*:)[0-9.]+$", 1), low)).otherwise(text)
 
     def key(t: Column) -> Column:
         sides = F.split(t, "::", -1)
@@ -59,13 +59,13 @@ def ip6_key(c: Column | str) -> Column:
         digits = lambda groups: F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
         return F.when(formed & (F.size(sides) == 1) & (F.size(left) == 8), digits(left)).when(formed & (F.size(sides) == 2) & (short >= 1), digits(full))
 
-    return let(plain, key)
+    return let(let(F.regexp_replace(F.lower(F.trim(as_column(c))), "(?<=.)%[^%]+$", ""), plain), key)
 
 
 def ip_key(c: Column | str) -> Column:
     """An address of either family as 32 hexadecimal digits that order as addresses do; null for malformed text."""
     four = lambda n: F.concat(F.lit(MAPPED), F.lower(F.lpad(F.hex(n), 8, "0")))
-    return F.coalesce(let(ip_number(c), lambda n: F.when(n.isNotNull(), four(n))), F.when(F.contains(as_column(c), F.lit(":")), ip6_key(c)))
+    return let(as_column(c), lambda a: F.coalesce(let(ip_number(a), lambda n: F.when(n.isNotNull(), four(n))), F.when(F.contains(a, F.lit(":")), ip6_key(a))))
 
 
 def network_keys(network: str) -> tuple[str, str]:
@@ -83,10 +83,11 @@ def is_public_ip(c: Column | str) -> Column:
 
         return ~within(RESERVED) | within(ROUTABLE)
 
-    four = let(ip_number(c), lambda n: open_to_all(n, False, lambda k: int(k[-8:], 16)))
-    six = F.when(F.contains(as_column(c), F.lit(":")), let(ip6_key(c), lambda k: F.when(
-        F.startswith(k, F.lit(MAPPED)), open_to_all(F.conv(F.right(k, F.lit(8)), 16, 10).cast("long"), False, lambda e: int(e[-8:], 16))).otherwise(open_to_all(k, True, str))))
-    return F.coalesce(four, six, F.lit(False))
+    def judged(k: Column) -> Column:
+        four = let(F.conv(F.right(k, F.lit(8)), 16, 10).cast("long"), lambda n: open_to_all(n, False, lambda e: int(e[-8:], 16)))
+        return F.when(F.startswith(k, F.lit(MAPPED)), four).otherwise(open_to_all(k, True, str))
+
+    return F.coalesce(let(ip_key(c), judged), F.lit(False))
 
 
 def bits(key: Column) -> Column:

@@ -178,15 +178,15 @@ def resolve_coords(df: DataFrame, registry: DataFrame, resolver: Hook | None = N
     if locations:
         named = F.coalesce(F.trim("location") != "", F.lit(False)) & valid_point(F.col("hook_lat"), F.col("hook_lon"))
         out = locations(out).withColumns({"loc_lat": F.when(named, F.col("hook_lat")), "loc_lon": F.when(named, F.col("hook_lon")), "loc_kind": F.when(named, "hook")}).drop("hook_lat", "hook_lon")
-    explicit = valid_point(F.col("latitude"), F.col("longitude"))
-    public = is_public_ip("ip")
+    explicit, public = valid_point(F.col("latitude"), F.col("longitude")), F.col("ip_public")
+    out = out.withColumn("ip_public", is_public_ip("ip"))
     by_ip = public & valid_point(F.col("ip_lat"), F.col("ip_lon"))
     source = (
         F.when(explicit, "coordinates").when(F.col("pc_lat").isNotNull(), "plus_code").when(F.col("loc_lat").isNotNull(), "location_registry")
         .when(by_ip, "ip").otherwise("unavailable"))
     out = out.withColumns({
         "geo_source": source, "plus_code_present": F.col("plus_code").isNotNull(), "loc_present": ~is_placeholder("location"),
-        "ip_present": F.coalesce(F.col("ip") != "", F.lit(False)), "ip_public": public})
+        "ip_present": F.coalesce(F.col("ip") != "", F.lit(False))})
     src = F.col("geo_source")
 
     def pick(options: dict[str, Column]) -> Column:
