@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from habitus.config import DEFAULTS, FEATURES, Settings
 from habitus.functions.normalize import is_night
-from habitus.operators import baseline as B, graph as G, velocity as V
+from habitus.operators import baseline as B, velocity as V
 from habitus.operators.ordered import quantiles
+from habitus.operators.salted import salted_join
 
 EPS = 1e-9
 NOVELTY = {"locs": "location_new", "countries": "country_new", "benefs": "beneficiary_new", "types": "type_rare", "ips": "ip_new"}
@@ -48,18 +49,25 @@ def cross_border(origin: str = "origin_country", destination: str = "destination
     return flag((o != "") & (d != "") & (F.lower(F.trim(o)) != F.lower(F.trim(d))))
 
 
-def with_novelty(df: DataFrame, member_rows: DataFrame, key: str = "customer_key") -> DataFrame:
+def with_novelty(df: DataFrame, member_rows: DataFrame, key: str = "customer_key", sized: bool = False, counted: DataFrame | None = None) -> DataFrame:
     """Add the five novelty flags: the customer has a learned set, the row has a value, and the set lacks it.
 
-    Members are looked up by (customer, value), which spreads even one customer's lookups over the cluster.
+    The distinct values of the rows are stacked and looked up by (customer, set, value) in one join, which spreads even one
+    customer's lookups over the cluster; each row then gets its five answers in one join. `sized` says that the rows have the
+    set sizes already; they are dropped.
     """
-    values, out, known = B.set_values(), df.join(B.set_sizes(member_rows, key), key, "left"), {}
-    for kind in NOVELTY:
-        learned = member_rows.where(F.col("kind") == kind).select(key, F.col("value").alias(f"_v_{kind}"), F.lit(True).alias(f"_in_{kind}"))
-        out = out.withColumn(f"_v_{kind}", values[kind]).join(learned, [key, f"_v_{kind}"], "left")
-        known[kind] = F.coalesce(f"_in_{kind}", F.lit(False))
-    flags = {name: flag((F.col(f"n_{k}") > 0) & values[k].isNotNull() & ~known[k]) for k, name in NOVELTY.items()}
-    return out.withColumns(flags).drop(*(c for k in NOVELTY for c in (f"_v_{k}", f"_in_{k}", f"n_{k}")))
+    counted = counted if counted is not None else df
+    out = df if sized else salted_join(df, B.set_sizes(member_rows, key), key, counted)
+    asked = F.struct(F.col(key).alias("key"), *[v.alias(k) for k, v in B.set_values().items()])
+    asks = counted.select(asked.alias("_asked"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_asked.{k}").alias("value")) for k in NOVELTY]))
+    stacked = asks.distinct().select("_asked", F.col("_asked.key").alias(key), each.alias("_v")).select("_asked", key, "_v.kind", "_v.value")
+    learned = member_rows.select(key, "kind", "value", F.lit(True).alias("_in"))
+    known = [F.count_if((F.col("kind") == k) & F.col("_in")).alias(f"_in_{k}") for k in NOVELTY]
+    answers = stacked.join(learned, [key, "kind", "value"], "left").groupBy("_asked").agg(*known)
+    out = salted_join(out.withColumn("_asked", asked), answers, "_asked", asks)
+    flags = {name: flag((F.col(f"n_{k}") > 0) & F.col(f"_asked.{k}").isNotNull() & (F.col(f"_in_{k}") == 0)) for k, name in NOVELTY.items()}
+    return out.withColumns(flags).drop("_asked", *(f"{c}_{k}" for k in NOVELTY for c in ("_in", "n")))
 
 
 def entity_median(df: DataFrame, key: str = "customer_key") -> DataFrame:
@@ -67,16 +75,23 @@ def entity_median(df: DataFrame, key: str = "customer_key") -> DataFrame:
     return quantiles(df, "amount", {"frame_median": 0.5}, (key,))
 
 
-def with_velocity(df: DataFrame, key: str = "customer_key", median: DataFrame | None = None) -> DataFrame:
-    """Add velocity, hourly spend and recency features; the median defaults to that of the frame itself.
+def squashed(counted: DataFrame) -> DataFrame:
+    """Velocity, hourly spend and recency features of rows with their windows and `frame_median`.
 
     The raw hourly spend and the usual amount stay as spent_1h and usual, for those who change the amount afterwards.
     """
-    counted = V.velocity(df, key).join(median if median is not None else entity_median(df, key), key, "left")
     counted = counted.withColumns({"spent_1h": F.col("spend_1h"), "usual": F.coalesce(F.nullif(F.col("frame_median"), F.lit(0.0)), F.lit(1.0))})
     return V.velocity_features(counted, F.col("frame_median")).drop("frame_median")
 
 
+def customer_rows(base: DataFrame, member_rows: DataFrame, graph: DataFrame | None = None, median: DataFrame | None = None) -> DataFrame:
+    """All that is known of a customer in one row: baseline, set sizes, graph features and median."""
+    out = base.drop("n").join(B.set_sizes(member_rows), "customer_key", "full")
+    for more in (graph, median):
+        out = out.join(more, "customer_key", "full") if more is not None else out
+    return out
+
+
 def with_population(df: DataFrame, population: DataFrame) -> DataFrame:
     """Two population numbers on every row, as scalar subqueries."""
     return df.withColumns({
@@ -91,17 +106,29 @@ def transform(
 
     Cold-start customers get neutral deviations, but their velocity and graph features are computed like anyone's.
     """
-    return deviations(with_velocity(txn, median=median), base, member_rows, population, graph, keep)
+    side = customer_rows(base, member_rows, graph, median if median is not None else entity_median(txn))
+    rows = squashed(salted_join(V.velocity(txn), side, "customer_key", txn))
+    return matrix(rows, member_rows, population, graph is not None, keep, txn)
 
 
 def deviations(
     rows: DataFrame, base: DataFrame, member_rows: DataFrame, population: DataFrame, graph: DataFrame | None = None, keep: tuple[str, ...] = (),
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """The matrix of rows that have their velocity and recency features already, however those were counted. `counted` may be
+    a cheaper frame of the same transactions, to count keys on."""
+    rows = salted_join(rows, customer_rows(base, member_rows, graph), "customer_key", counted)
+    return matrix(rows, member_rows, population, graph is not None, keep, counted)
+
+
+def matrix(
+    rows: DataFrame, member_rows: DataFrame, population: DataFrame, graph: bool, keep: tuple[str, ...] = (), counted: DataFrame | None = None,
 ) -> DataFrame:
-    """The matrix of rows that have their velocity and recency features already, however those were counted."""
-    rows = with_population(rows, population).join(base.drop("n"), "customer_key", "left")
+    """The matrix of rows that have their velocity features and their customer's row."""
+    rows = with_population(rows, population)
     rows = rows.withColumns(amount_features() | time_features() | {"cross_border": cross_border(), "is_cold_start": F.col("amt_max").isNull()})
-    rows = with_novelty(rows, member_rows)
-    rows = G.with_graph(rows, graph) if graph is not None else rows.withColumns({c: F.lit(0.0) for c in FEATURES[-3:]})
+    rows = with_novelty(rows, member_rows, sized=True, counted=counted)
+    rows = rows if graph else rows.withColumns({c: F.lit(0.0) for c in FEATURES[-3:]})
     finite = {f: F.when(F.isnan(f) | F.col(f).isin(float("inf"), float("-inf")), 0.0).otherwise(F.coalesce(f, F.lit(0.0))) for f in FEATURES}
     return rows.select("customer_key", "transaction_id", *keep, "is_cold_start", *[c.alias(f) for f, c in finite.items()])
 

@@ -8,6 +8,7 @@ from habitus.config import DEFAULTS, Settings, WEEKDAYS_SHORT
 from habitus.functions.normalize import city_of, days_between, decay_weight, exact_sum, ip_subnet_loose, is_night, iso_weekday
 from habitus.operators.filters import confirmed_fraud
 from habitus.operators.ordered import quantiles
+from habitus.operators.salted import salted_join
 
 ROW_ORDER = ("ts", "id", "version", "amount")
 
@@ -177,16 +178,17 @@ def with_cadence(profile: DataFrame, as_of: Column, months: Column) -> DataFrame
 
 def with_prev_seen(txn: DataFrame, prev: DataFrame) -> DataFrame:
     """Add the previous build's last_seen to every transaction (null for new entities)."""
-    return txn.join(prev.select("entity_key", F.col("last_seen").alias("prev_last_seen")), "entity_key", "left")
+    return salted_join(txn, prev.select("entity_key", F.col("last_seen").alias("prev_last_seen")), "entity_key")
 
 
 def new_txn_counts(clean: DataFrame, prev: DataFrame, keys: tuple[str, ...] = ("entity_key",)) -> DataFrame:
     """Transactions newer than the previous build; none for entities without one.
 
-    Rows are filtered and counted against a per-entity time, so only the aggregate leaves the join.
+    Rows are counted by time first, so a busy entity's rows of one moment are one; entities with many moments are split.
     """
     newer = F.coalesce(F.col("ts") > F.col("prev_last_seen"), F.lit(False))
-    return with_prev_seen(clean, prev).groupBy(*keys).agg(F.count_if(newer).alias("new_txns"))
+    moments = clean.groupBy(*dict.fromkeys((*keys, "entity_key", "ts"))).agg(F.count("*").alias("_rows"))
+    return with_prev_seen(moments, prev).groupBy(*keys).agg(F.coalesce(F.sum(F.when(newer, F.col("_rows"))), F.lit(0)).alias("new_txns"))
 
 
 def fraud_counts(unique_rows: DataFrame, key: str = "entity_key") -> DataFrame:

@@ -172,3 +172,51 @@ def test_weighted_quantiles_of_one_amount_paid_often(spark):
     pdf = pdf.sort_values(["amount", "t"])
     mid = (pdf.w.cumsum() - pdf.w / 2) / pdf.w.sum()
     assert [got[k] for k in "abc"] == pytest.approx(list(np.interp([0.1, 0.5, 0.95], mid, pdf.amount)), abs=1e-9)
+
+
+def final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_salted_join_splits_a_hot_key(spark):
+    """70 % of the rows on one key, one in ten without a key: rows as from a plain join, parts of bounded size."""
+    from habitus.operators.salted import hot_keys, salted_join
+
+    rows = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 10 == 9, None).when(F.col("id") % 10 < 7, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 900)).alias("k"))
+    side = spark.createDataFrame([("hot", 1), ("c7", 2), ("unused", 3)], "k string, v int")
+    got = salted_join(rows, side, "k", least=500)
+    want = rows.join(side, "k", "left")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert [(r.k, r._parts) for r in hot_keys(rows, "k", 500).collect()] == [("hot", 28)]
+    assert hot_keys(rows, "k", 1, share=4).count() == 1  # never more keys than share
+
+
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        sizes = [r[0] for r in salted_join(rows, side, "k", least=500).groupBy(F.spark_partition_id()).agg(F.count("*")).collect()]
+        assert "SortMergeJoin" in final_plan(salted_join(rows, side, "k", least=500))
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert len(sizes) == 8 and max(sizes) < 2.5 * sorted(sizes)[4]  # one task would have 14,000 rows
+
+
+def test_salted_join_of_nothing(spark):
+    from habitus.operators.salted import salted_join
+
+    rows = spark.createDataFrame([("a", 1)], "k string, id long")
+    side = spark.createDataFrame([("a", True)], "k string, v boolean")
+    assert salted_join(rows.limit(0), side, "k").count() == 0
+    assert [tuple(r) for r in salted_join(rows, side.limit(0), "k").collect()] == [("a", 1, None)]
+    assert [tuple(r) for r in salted_join(rows, side, "k", spread=()).collect()] == [("a", 1, True)]
+
+
+def test_matrix_joins_the_customer_once(spark):
+    """Beside the hourly summary of velocity, a row meets its customer in one join and its set members in one."""
+    from habitus.plans.modelling import feature_matrix
+
+    plan = feature_matrix(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert len([l for l in plan.splitlines() if "Join LeftOuter" in l and "_salt" in l]) == 2
