@@ -293,7 +293,7 @@ matrix AS (SELECT transaction_id, customer_key, cold AS is_cold_start, ln(1 + am
 
 def feature_matrix(spark, d, keep=()):
     train, txn = split(spark, d)
-    return X.transform(txn, B.fit_baseline(train), B.members(train), B.population_baseline(train), G.graph_features(train), keep)
+    return X.transform(txn, B.fit_baseline(train), materialize(B.members(train), "members"), B.population_baseline(train), G.graph_features(train), keep)
 
 
 @query("x06_feature_matrix", MATRIX + f"SELECT transaction_id, is_cold_start, {', '.join(f'round({f}, 4) AS {f}' for f in FEATURES)} FROM matrix")
