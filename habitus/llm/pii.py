@@ -12,7 +12,7 @@ for that, which keeps all positions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from habitus.llm.text import stored
 
@@ -70,21 +70,14 @@ def holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def spans_of(text: Column, form: str, keep, fields) -> Column:
-    """Spans of all matches of a form that keep accepts, in order; fields(match, piece before it, start) makes each.
+def matches(text: Column, form: str, fields) -> Column:
+    """All matches of a form in order, and the lengths that place them: gap (of the text since the last match) and length.
 
-    The pieces between matches and the matches themselves take turns, so positions are sums of their lengths.
+    fields(match, piece of text before it) gives skip and size (where in the match its span lies), holds, pattern and value.
     """
     turns = F.arrays_zip(F.split(text, form, -1).alias("p"), F.regexp_extract_all(text, F.lit(form), F.lit(0)).alias("m"))
-    none = F.slice(F.array(fields(F.lit(""), F.lit(""), F.lit(0))), 1, 0)
-    start = lambda a, x: a["at"] + F.length(x["p"])
-
-    def step(a: Column, x: Column) -> Column:
-        matched = x["m"].isNotNull()
-        found = F.when(matched & keep(F.coalesce(x["m"], F.lit(""))), F.concat(a["out"], F.array(fields(x["m"], x["p"], start(a, x))))).otherwise(a["out"])
-        return F.struct((start(a, x) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), found.alias("out"))
-
-    return F.aggregate(turns, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    return F.transform(F.filter(turns, lambda x: x["m"].isNotNull()), lambda x, i: F.struct(
+        i.alias("place"), F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("length"), *fields(x["m"], x["p"])))
 
 
 def before(piece: Column) -> Column:
@@ -93,40 +86,56 @@ def before(piece: Column) -> Column:
     return F.lower(F.regexp_replace(word, TRIM, ""))
 
 
-def span(kind, start: Column, end: Column, pattern: Column, value: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), start.cast("int").alias("start"), end.cast("int").alias("end"), pattern.alias("pattern"), value.alias("value"))
+HIT = "array<struct<place:int,gap:int,length:int,skip:int,size:int,holds:boolean,pattern:string,value:string>>"
+
 
+def hit(kept: Column, skip: Column, size: Column, pattern: Column, value: Column) -> list[Column]:
+    """The fields of a match; one that is not kept only counts for the places of those after it."""
+    return [skip.cast("int").alias("skip"), size.cast("int").alias("size"), kept.alias("holds"), F.when(kept, pattern).alias("pattern"), F.when(kept, value).alias("value")]
 
-def base_spans(column: str = "text") -> Column:
-    """All spans of the four kinds, by kind as listed, then by start; a null text has none."""
+
+def base_hits(column: str = "text") -> dict[str, Column]:
+    """Per kind all matches of its form; a null text has none."""
     clean = F.translate(F.coalesce(F.col(column), F.lit("")), MARK, OTHER)
-    out = []
+    out = {}
     for kind, (must, marked, form) in FORMS.items():
         text = F.regexp_replace(clean, marked, MARK) if marked else clean
-        fields = lambda m, p, s, kind=kind: span(kind, s, s + F.length(m), before(p), F.lower(digits(m) if kind in ("card", "phone") else m))
-        found = spans_of(text, form, lambda m, kind=kind: holds(kind, m), fields)
-        out.append(F.when(clean.rlike(must), found).otherwise(F.slice(F.array(span(kind, F.lit(0), F.lit(0), F.lit(""), F.lit(""))), 1, 0)))
-    return F.concat(*out)
+        fields = lambda m, p, kind=kind: hit(holds(kind, m), F.lit(0), F.length(m), before(p), F.lower(digits(m) if kind in ("card", "phone") else m))
+        out[kind] = F.when(clean.rlike(must), matches(text, form, fields).cast(HIT)).otherwise(F.array().cast(HIT))
+    return out
 
 
-def tokens(column: str = "text") -> Column:
+def token_hits(column: str = "text") -> Column:
     """All tokens that may be identifiers, without punctuation at their edges."""
     clean = F.coalesce(F.col(column), F.lit(""))
 
-    def fields(m: Column, p: Column, s: Column) -> Column:
+    def fields(m: Column, p: Column) -> list[Column]:
         left = F.length(m) - F.length(F.regexp_replace(m, f"^{EDGES}+", ""))
         core = F.regexp_replace(m, TRIM, "")
         opened = core.rlike(r"^\+?[0-9]++\)") & (F.substring(m, left, F.lit(1)) == "(")  # a bracket around the first group is its own
         left, core = left - F.when(opened, 1).otherwise(0), F.when(opened, F.concat(F.lit("("), core)).otherwise(core)
-        return span("", s + left, s + left + F.length(core), before(p), F.lower(core))
+        return hit((F.length(core) >= SHORTEST) & (before(p) != ""), left, F.length(core), before(p), F.lower(core))
+
+    return F.when(clean.rlike("[0-9@]"), matches(clean, TOKEN, fields).cast(HIT)).otherwise(F.array().cast(HIT))
 
-    return F.when(clean.rlike("[0-9@]"), spans_of(clean, TOKEN, lambda m: F.length(m) >= SHORTEST, fields)).otherwise(
-        F.slice(F.array(span("", F.lit(0), F.lit(0), F.lit(""), F.lit(""))), 1, 0))
 
+def placed(rows: DataFrame) -> DataFrame:
+    """row, kind (its place in KINDS, one more for tokens), start, end, pattern and value of the spans in column hits.
 
-def apart(tokens: Column, base: Column) -> Column:
-    """Tokens long enough for an identifier that no base span overlaps."""
-    return F.filter(tokens, lambda t: (t["end"] - t["start"] >= SHORTEST) & (t["pattern"] != "") & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    Positions are running sums of lengths. Tokens that a base span overlaps are left out: in order of start, the ends behind
+    and the starts ahead decide that. So time grows with a text even if it is all matches.
+    """
+    each = rows.select("row", F.posexplode("hits").alias("kind", "of")).select("row", "kind", F.explode("of").alias("h")).select("row", "kind", "h.*")
+    end = F.sum((F.col("gap") + F.col("length")).cast("long")).over(Window.partitionBy("row", "kind").orderBy("place"))
+    start = (F.col("_end") - F.col("length") + F.col("skip")).cast("int")
+    spans = each.withColumn("_end", end).filter("holds").select("row", "kind", start.alias("start"), (start + F.col("size")).alias("end"), "pattern", "value")
+    forth, back = Window.partitionBy("row").orderBy("start", "kind"), Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"))
+    before_it = (Window.unboundedPreceding, -1)
+    base = F.col("kind") < len(KINDS)
+    reached = F.max(F.when(base, F.col("end"))).over(forth.rowsBetween(*before_it))
+    ahead = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(*before_it))
+    free = F.coalesce(F.col("reached") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("ahead") >= F.col("end"), F.lit(True))
+    return spans.withColumns({"reached": reached, "ahead": ahead}).filter(base | free).drop("reached", "ahead")
 
 
 def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -156,21 +165,24 @@ def find(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Positions are code points, ends exclusive. Null and empty texts have no spans; rows with equal or null ids are searched
     each on its own.
     """
-    rows = documents.select("doc_id", base_spans().alias("base"), tokens().alias("seen"))
-    rows = rows.select("doc_id", "base", apart(F.col("seen"), F.col("base")).alias("seen")).withColumn("row", F.monotonically_increasing_id())
-    rows = stored(rows, "spans")
-    known = rows.select(F.explode("base").alias("s")).select("s.pattern", "s.value", "s.kind").filter("pattern <> ''")
-    unknown = rows.select("row", F.explode("seen").alias("s")).select("row", "s.start", "s.end", "s.pattern", "s.value")
+    hits = F.array(*base_hits().values(), token_hits())
+    rows = stored(documents.select("doc_id", hits.alias("hits")).withColumn("row", F.monotonically_increasing_id()), "hits")
+    spans = stored(placed(rows), "spans")
+    named = F.get(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    base = spans.filter(F.col("kind") < len(KINDS)).withColumn("kind", named)
+    unknown = spans.filter(F.col("kind") == len(KINDS)).drop("kind")
+    known = base.filter("pattern <> ''").select("pattern", "value", "kind")
     patterns, values = trusted_patterns(known.union(unknown.select("pattern", "value", F.lit(None).cast("string"))), rounds)
     added = (
         unknown.join(patterns.select("pattern", "kind"), "pattern").join(values.select("value", "kind", "score"), ["value", "kind"])
-        .groupBy("row", "start", "end").agg(F.max(F.struct("score", "kind")).kind.alias("kind"))
-        .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
+        .groupBy("row", "start", "end").agg(F.max(F.struct("score", "kind")).kind.alias("kind")).select("row", F.lit(True).alias("by_context"), "kind", "start", "end")
     )
-    only = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    joined = rows.select("row", "doc_id", only(F.col("base")).alias("base")).join(added, "row", "left")
-    none = F.slice(F.array(F.struct(F.lit("").alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("end"))), 1, 0)
-    return joined.select("doc_id", "base", F.coalesce("added", none).alias("added"))
+    both = base.select("row", F.lit(False).alias("by_context"), "kind", "start", "end").union(added)
+    listed = lambda which: F.array_sort(F.collect_list(F.when(which, F.struct("kind", "start", "end"))))
+    per_row = both.groupBy("row").agg(listed(~F.col("by_context")).alias("base"), listed(F.col("by_context")).alias("added"))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    joined = rows.select("row", "doc_id").join(per_row, "row", "left")
+    return joined.select("doc_id", by_kind(F.coalesce("base", none)).alias("base"), F.coalesce("added", none).alias("added"))
 
 
 def written(spans: Column) -> Column:

@@ -117,3 +117,17 @@ def test_patterns_reveal_identifiers_written_with_blanks(spark):
 def test_hostile_runs_of_digits(spark):
     texts = ["1 " * 60_000 + "x", "1 " * 60_000 + "1x", "(1) " * 40_000 + "é1", "1-" * 80_000, "1.1 " * 40_000, "1" * 100_000 + " 2x", "1 (" * 50_000, "((1" * 50_000, "1 - " * 40_000]
     assert len(found(spark, texts)) == len(texts)
+
+
+def test_time_grows_with_the_text(spark):
+    """A text that is all matches: 4 MB take well under four times as long as 1 MB do, and all of its spans are found."""
+    import time
+
+    taken = {}
+    for n in (2_000, 50_000, 200_000):
+        text = "".join(f"user{i:06d}@ab.org x{i:06d}7 " for i in range(n))
+        start = time.time()
+        row = P.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("base"), F.element_at("base", -1)).first()
+        taken[n] = time.time() - start
+        assert row[0] == n and tuple(row[1]) == ("email", (n - 1) * 27, (n - 1) * 27 + 17)
+    assert taken[200_000] < 8 * taken[50_000]
