@@ -2,7 +2,8 @@
 
 Every language has a table of its frequent words and of character n-grams. A known word adds its log frequency in each
 language. An unknown word is cut into n-grams of MOST characters, its edges marked; if none of them was seen, shorter ones
-are taken. The language with the highest total wins; of equal ones, the first in order of its name.
+are taken. The language with the highest total over all words, its share of all learned words included, wins; of equal ones,
+the first in order of its name.
 
 The model is fitted on a bounded sample: of the labelled rows, about SAMPLE of each language, those with the lowest hashes. It holds
 WORDS words a language and 2^BUCKET_BITS hashed n-grams a length, so its size is bounded too. Predictions read all texts.
@@ -24,6 +25,7 @@ WORDS = 50_000  # known words a language
 MOST = 4  # characters of the longest n-grams
 BUCKET_BITS = 16
 EDGE = ord("_")
+TEMPER = 20  # words whose evidence a score stands for, at most
 
 
 def lowered(column: pa.Array) -> list[bytes]:
@@ -151,7 +153,8 @@ def fit(rows: DataFrame, most: int = SAMPLE, words: int = WORDS) -> Model:
 def predict(documents: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Add the language and its score (0 to 1), under two names, to the columns in keep.
 
-    Null texts, and texts without a letter, are `und` with score 0, as is everything if no language was learned.
+    The score is the language's share of the odds, tempered to the evidence of TEMPER words so that long texts do not all get 1;
+    it has no say in the choice. Null texts, and texts without a letter, are `und` with score 0, as is everything if no language was learned.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -163,10 +166,9 @@ def predict(documents: DataFrame, model: Model, text: str = "text", keep: tuple[
             best, score = np.full(len(texts), None), np.zeros(len(texts))
         else:
             total, n = m.totals(texts)
-            mean = total / np.maximum(n, 1)[:, None]
-            odds = np.minimum(n, 20)[:, None] * mean + m.prior  # the evidence of 20 words at most, so that scores stay apart
+            at = np.argmax(total + m.prior, axis=1)
+            odds = total * (np.minimum(n, TEMPER) / np.maximum(n, 1))[:, None] + m.prior
             odds = np.exp(odds - odds.max(axis=1, keepdims=True))
-            at = np.argmax(odds, axis=1)
             best, score = np.array(m.langs, object)[at], odds[np.arange(len(at)), at] / odds.sum(axis=1)
         ok = letters & (best != None)  # noqa: E711
         pred = pa.array([b if o else "und" for b, o in zip(best.tolist(), ok.tolist())], pa.string())
