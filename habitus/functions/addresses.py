@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from habitus.functions.normalize import as_column
+from habitus.operators.salted import salted_join
 
 # Networks that are not globally routable, those inside them that are, and multicast.
 RESERVED = (
@@ -157,7 +158,7 @@ def with_ranges(df: DataFrame, ranges: DataFrame, ip: str, payload: tuple[str, .
     own = F.transform(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: F.left("_bits", n))
     found = each.select(key, F.explode(own).alias("_prefix")).join(cut, "_prefix").groupBy(key).agg(F.max_by("_found", "_found.order").alias("_found"), F.sum("_n").alias("_n"))
     counted = [F.coalesce("_n", F.lit(0)).cast("long").alias(around)] if around else []
-    return placed.join(found, key, "left").select(*df.columns, *[F.col(f"_found._payload.{p}").alias(p) for p in payload], *counted)
+    return salted_join(placed, found, key, placed.select(key), tuple(df.columns)).select(*df.columns, *[F.col(f"_found._payload.{p}").alias(p) for p in payload], *counted)
 
 
 def range_resolver(ranges: DataFrame, lat: str = "lat", lon: str = "lon", ip: str = "ip") -> Callable[[DataFrame], DataFrame]:

@@ -173,8 +173,8 @@ def resolve_coords(df: DataFrame, registry: DataFrame, resolver: Hook | None = N
     addresses.range_resolver; it counts for public addresses only. `locations` is a hook that adds `hook_lat`, `hook_lon` from
     `location`; with one the registry only helps short Plus Codes. Points out of range count as not found.
     """
-    out = resolve_plus_codes(registry_lookup(df, registry), "location", "loc_lat", "loc_lon")
-    out = resolver(out) if resolver else out.withColumns({c: F.lit(None).cast("double") for c in ("ip_lat", "ip_lon")})
+    out = resolver(df) if resolver else df.withColumns({c: F.lit(None).cast("double") for c in ("ip_lat", "ip_lon")})  # rows are narrow here
+    out = resolve_plus_codes(registry_lookup(out, registry), "location", "loc_lat", "loc_lon")
     if locations:
         named = F.coalesce(F.trim("location") != "", F.lit(False)) & valid_point(F.col("hook_lat"), F.col("hook_lon"))
         out = locations(out).withColumns({"loc_lat": F.when(named, F.col("hook_lat")), "loc_lon": F.when(named, F.col("hook_lon")), "loc_kind": F.when(named, "hook")}).drop("hook_lat", "hook_lon")
