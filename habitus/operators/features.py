@@ -58,19 +58,21 @@ def with_novelty(df: DataFrame, member_rows: DataFrame, key: str = "customer_key
     """
     counted = counted if counted is not None else df
     out = df if sized else salted_join(df, B.set_sizes(member_rows, key), key, counted)
-    values = B.set_values()
-    parts = [F.col(key), *[values[k] for k in NOVELTY]]
+    values = {f"_v_{k}": v for k, v in B.set_values().items() if k in NOVELTY}
+    parts = [F.col(key), *[F.col(f"_v_{k}") for k in NOVELTY]]
     # what a row asks is known by 128 bits of it; nulls are told apart by the second half
     asked = F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *[F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("")) for p in parts]).alias("b"))
-    asks = counted.select(asked.alias("_asked"), F.col(key), *[values[k].alias(f"_v_{k}") for k in NOVELTY])
+    asks = counted.select(key, *[v.alias(n) for n, v in values.items()]).select(asked.alias("_asked"), key, *values)
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_v_{k}").alias("value")) for k in NOVELTY]))
     stacked = asks.distinct().select("_asked", key, each.alias("_v")).select("_asked", key, "_v.kind", "_v.value").where("value IS NOT NULL")
     learned = member_rows.select(key, "kind", "value", F.lit(True).alias("_in"))
     known = [F.count_if((F.col("kind") == k) & F.col("_in")).alias(f"_in_{k}") for k in NOVELTY]
     answers = stacked.join(learned, [key, "kind", "value"], "left").groupBy("_asked").agg(*known)
-    out = salted_join(out.withColumn("_asked", asked), answers, "_asked", asks)
-    flags = {name: flag((F.col(f"n_{k}") > 0) & values[k].isNotNull() & (F.col(f"_in_{k}") == 0)) for k, name in NOVELTY.items()}
-    return out.withColumns(flags).drop("_asked", *(f"{c}_{k}" for k in NOVELTY for c in ("_in", "n")))
+    # the values are read before the rows move to their answers; from then on a row only knows which of its values may be new
+    out = out.withColumns(values).withColumns({"_asked": asked} | {f"_may_{k}": (F.col(f"n_{k}") > 0) & F.col(f"_v_{k}").isNotNull() for k in NOVELTY})
+    out = salted_join(out.drop(*values), answers, "_asked", asks)
+    flags = {name: flag(F.col(f"_may_{k}") & (F.col(f"_in_{k}") == 0)) for k, name in NOVELTY.items()}
+    return out.withColumns(flags).drop("_asked", *(f"{c}_{k}" for k in NOVELTY for c in ("_in", "n", "_may")))
 
 
 def entity_median(df: DataFrame, key: str = "customer_key") -> DataFrame:
@@ -132,7 +134,7 @@ def matrix(
     rows = rows.withColumns(amount_features() | time_features() | {"cross_border": cross_border(), "is_cold_start": F.col("amt_max").isNull()})
     rows = with_novelty(rows, member_rows, sized=True, counted=counted)
     rows = rows if graph else rows.withColumns({c: F.lit(0.0) for c in FEATURES[-3:]})
-    finite = {f: F.when(F.isnan(f) | F.col(f).isin(float("inf"), float("-inf")), 0.0).otherwise(F.coalesce(f, F.lit(0.0))) for f in FEATURES}
+    finite = {f: F.when(F.abs(f) < float("inf"), F.col(f)).otherwise(0.0) for f in FEATURES}  # not a number counts as above infinity
     return rows.select("customer_key", "transaction_id", *keep, "is_cold_start", *[c.alias(f) for f, c in finite.items()])
 
 
