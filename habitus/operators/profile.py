@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from habitus.config import DEFAULTS, Settings, WEEKDAYS_SHORT
 from habitus.functions.normalize import city_of, days_between, decay_weight, exact_sum, ip_subnet_loose, is_night, iso_weekday
 from habitus.operators.filters import confirmed_fraud
-from habitus.operators.ordered import quantiles
+from habitus.operators.ordered import by_size, quantiles
 from habitus.operators.salted import salted_join
 
 ROW_ORDER = ("ts", "id", "version", "amount")
@@ -28,12 +28,14 @@ MAP_NAMES = {
     "city": "usual_cities", "country": "usual_countries", "ip": "known_ip_addresses", "subnet": "known_ip_subnets",
     "beneficiary": "beneficiaries",
 }
+COMPLETE = ("city", "country", "subnet", "beneficiary")  # kinds whose maps, with the hours, make a profile complete
 ENTROPY_NAMES = {"transaction_type": "transaction_type_entropy", "merchant": "merchant_entropy", "city": "location_entropy"}
 
 
 def prepared(clean: DataFrame) -> DataFrame:
-    """Derived columns every profile aggregate reads."""
-    return clean.withColumns({"city": city_of("customer_location"), "ip_subnet": ip_subnet_loose("customer_ip_address")})
+    """Derived columns that profile aggregates read, of the columns that are there."""
+    derived = {"city": ("customer_location", city_of), "ip_subnet": ("customer_ip_address", ip_subnet_loose)}
+    return clean.withColumns({n: of(c) for n, (c, of) in derived.items() if c in clean.columns})
 
 
 def newest(df: DataFrame) -> Column:
@@ -136,6 +138,18 @@ def entropies(counts: DataFrame, keys: tuple[str, ...], kinds: tuple[str, ...] =
     return counts.groupBy(*keys).agg(*[one(k).alias(ENTROPY_NAMES[k]) for k in kinds])
 
 
+def categories(clean: DataFrame, keys: tuple[str, ...], kinds: tuple[str, ...] = tuple(KINDS), cfg: Settings = DEFAULTS) -> DataFrame:
+    """Top maps and entropies of the kinds named. Stored rows of a key with few of them move once, by the key; those of the others are
+    counted by value first, as everywhere."""
+    def both(rows: DataFrame) -> DataFrame:
+        counts = value_counts(rows, keys, kinds)
+        measured = tuple(k for k in kinds if k in ENTROPY_NAMES)
+        maps = top_maps(counts, keys, kinds, cfg)
+        return maps.join(entropies(counts, keys, measured), list(keys), "full") if measured else maps
+
+    return by_size(clean, keys, lambda rows: both(rows.repartition(*keys)), both)
+
+
 def distinct_beneficiaries(clean: DataFrame, as_of: Column, keys: tuple[str, ...]) -> DataFrame:
     """Distinct beneficiaries overall, in 30 days and in 24 hours; an unknown beneficiary counts as one value."""
     per_value = clean.groupBy(*keys, "destination_account_no").agg(F.max("ts").alias("last_ts"))
@@ -245,43 +259,67 @@ def eligibility_status(days: Column, txns: Column, fraud: Column, cfg: Settings
     return F.when(ok, "active").otherwise("warming_up")
 
 
+ATTRIBUTES = ("customer_name", "identifier", "bvn", "account_type", "last_event")
+
+
 def build_profiles(
     clean: DataFrame, unique_rows: DataFrame, as_of: Column, keys: tuple[str, ...] = ("entity_key",),
-    tenure_by_entity: DataFrame | None = None, cfg: Settings = DEFAULTS,
+    tenure_by_entity: DataFrame | None = None, cfg: Settings = DEFAULTS, kinds: tuple[str, ...] = tuple(KINDS), attributes: bool = True,
 ) -> DataFrame:
-    """The full profile per key.
+    """The full profile per key, of stored rows; with only some `kinds` of maps and no `attributes` for those who read no others.
 
-    Every part is an aggregate that ends hash-partitioned by the key, so the final joins reuse those partitions.
+    Every part is an aggregate that ends hash-partitioned by the key, so the final joins reuse those partitions. The confidence needs
+    the maps of COMPLETE and is left out without them.
     """
-    columns = [n for n in core_columns(as_of, cfg) if not n.startswith(("null_", "suspicious_"))]
-    base = core(clean, as_of, (*keys, "branch_id", "origin_account_no") if "entity_key" in keys else keys, columns, cfg)
-    counts = value_counts(clean, keys)
+    left_out = ("null_", "suspicious_") if attributes else ("null_", "suspicious_", *ATTRIBUTES)
+    columns = [n for n in core_columns(as_of, cfg) if not n.startswith(left_out)]
+    base = core(clean, as_of, (*keys, "branch_id", "origin_account_no") if attributes and "entity_key" in keys else keys, columns, cfg)
     parts = [
-        quantiles(clean, "amount", {"median_amount": 0.5, "p95_amount": 0.95}, keys),
-        distinct_beneficiaries(clean, as_of, keys), top_maps(counts, keys, cfg=cfg), entropies(counts, keys),
+        quantiles(clean, "amount", {"median_amount": 0.5, "p95_amount": 0.95}, keys, stored=True),
+        distinct_beneficiaries(clean, as_of, keys), categories(clean, keys, kinds, cfg),
         histogram(clean, keys, "hour"), histogram(clean, keys, "weekday"),
     ]
     out = with_cadence(base, as_of, months_spanned(clean))
     for part in parts:
         out = out.join(part, list(keys), "left")
     out = out.join(fraud_counts(unique_rows), "entity_key", "left").withColumn("fraud_txns", F.coalesce("fraud_txns", F.lit(0)))
-    out = out.withColumns({m: F.coalesce(m, F.create_map().cast("map<string,bigint>")) for m in MAP_NAMES.values()})
+    out = out.withColumns({m: F.coalesce(m, F.create_map().cast("map<string,bigint>")) for m in (MAP_NAMES[k] for k in kinds)})
     if tenure_by_entity is not None:
         out = out.join(tenure_by_entity, "entity_key", "left")
     else:
         out = out.withColumns({"tenure_days": F.lit(None).cast("long"), "lifetime_clean_txns": F.lit(None).cast("long")})
     days = F.coalesce("tenure_days", F.floor("age_days"))
     txns = F.coalesce("lifetime_clean_txns", "total_tx_count")
-    maps = ("usual_cities", "usual_countries", "known_ip_subnets", "beneficiaries", "peak_transaction_hours")
-    present = sum(((F.size(m) > 0).cast("int") for m in maps), F.lit(0))
-    return out.withColumns({
+    out = out.withColumns({
         "tenure_days": days, "lifetime_clean_txns": txns, "suspicious_tx_count": F.col("fraud_txns"),
         "suspicious_ratio": suspicious_ratio(F.col("fraud_txns"), F.col("total_tx_count")),
         "profile_status": eligibility_status(days, txns, F.col("fraud_txns"), cfg),
-        "confidence_score": confidence(days, txns, F.col("avg_amount"), F.col("std_amount"), present, cfg),
-        "last_location": F.col("last_event.customer_location"), "last_city": F.col("last_event.city"),
-        "last_country": F.col("last_event.origin_country"), "last_ip": F.col("last_event.customer_ip_address"),
-    }).drop("last_event", "fraud_txns")
+    })
+    if set(COMPLETE) <= set(kinds):
+        present = sum(((F.size(m) > 0).cast("int") for m in (*(MAP_NAMES[k] for k in COMPLETE), "peak_transaction_hours")), F.lit(0))
+        out = out.withColumn("confidence_score", confidence(F.col("tenure_days"), F.col("lifetime_clean_txns"), F.col("avg_amount"), F.col("std_amount"), present, cfg))
+    if attributes:
+        out = out.withColumns({
+            "last_location": F.col("last_event.customer_location"), "last_city": F.col("last_event.city"),
+            "last_country": F.col("last_event.origin_country"), "last_ip": F.col("last_event.customer_ip_address"),
+        }).drop("last_event")
+    return out.drop("fraud_txns")
+
+
+def confidences(clean: DataFrame, as_of: Column, keys: tuple[str, ...] = ("entity_key",), cfg: Settings = DEFAULTS) -> DataFrame:
+    """The confidence that the full profile has, without its maps: of each it only asks whether there is an entry. Values of a kind that
+    needs no second sight are not counted at all."""
+    base_names = ("first_seen", "total_tx_count", "avg_amount", "std_amount")
+    cols = core_columns(as_of, cfg)
+    once = tuple(k for k in COMPLETE if KINDS[k][1] == 1)
+    often = tuple(k for k in COMPLETE if k not in once)
+    seen = {k: F.coalesce(F.bool_or(F.col(KINDS[k][0]) != ""), F.lit(False)).alias(f"_has_{k}") for k in once}
+    base = prepared(clean).groupBy(*keys).agg(*[cols[n].alias(n) for n in base_names], *seen.values())
+    kept = value_counts(clean, keys, often).where(F.col("n") >= least_count(cfg)).groupBy(*keys).agg(*[F.bool_or(F.col("kind") == k).alias(f"_has_{k}") for k in often])
+    out = base.join(kept, list(keys), "left")
+    present = sum((F.coalesce(F.col(f"_has_{k}"), F.lit(False)).cast("int") for k in COMPLETE), F.lit(1))  # every row has an hour
+    days = F.floor(days_between(as_of, "first_seen"))
+    return out.select(*keys, confidence(days, F.col("total_tx_count"), F.col("avg_amount"), F.col("std_amount"), present, cfg).alias("confidence_score"))
 
 
 def dominant(profiles: DataFrame, key: str = "entity_key", by: str = "total_tx_count", tie: str = "currency") -> DataFrame:
