@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from habitus.config import DEFAULTS, Settings, WEEKDAYS
 from habitus.functions.maps import set_diff, top_buckets
 from habitus.functions.normalize import canonical_location, canonical_type, days_between, decay_weight, ip_subnet_strict
-from habitus.operators.ordered import quantile_arrays, quantiles, weighted_quantiles
+from habitus.operators.ordered import by_size, quantile_arrays, quantiles, weighted_quantiles
 
 
 
@@ -126,6 +126,27 @@ def set_changes(prev_members: DataFrame, cur_members: DataFrame, key: str = "cus
         F.count_if(added).alias("added"), F.count_if(removed).alias("removed"), F.count_if(~added & ~removed).alias("kept"))
 
 
+def set_changes_since(train: DataFrame, was: Column, key: str = "customer_key", current: DataFrame | None = None) -> DataFrame:
+    """set_changes of two builds over the same stored rows: all of them, and before that those where `was` holds. Customers that are
+    not among the keys of `current`, if given, have no current sets. Rows of customers with few of them move once."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("kind"), v.alias("value")) for n, v in set_values().items()])
+    rows = train.select(key, F.coalesce(was, F.lit(False)).alias("_was"), pairs.alias("_pairs"))
+
+    def changed(part: DataFrame) -> DataFrame:
+        each = part.select(key, "_was", F.explode("_pairs").alias("p")).where("p.value IS NOT NULL")
+        values = each.groupBy(key, F.col("p.kind").alias("kind"), F.col("p.value").alias("value")).agg(F.bool_or("_was").alias("_was"))
+        return values.groupBy(key, "kind").agg(F.count_if("_was").alias("_old"), F.count("*").alias("_all"))
+
+    counts = by_size(rows, (key,), lambda part: changed(part.repartition(key)), changed)
+    known = F.lit(True)
+    if current is not None:
+        counts = counts.join(current.select(key, F.lit(True).alias("_known")), key, "left")
+        known = F.coalesce("_known", F.lit(False))
+    return counts.where((F.col("_old") > 0) | known).select(
+        key, "kind", F.when(known, F.col("_all") - F.col("_old")).otherwise(0).alias("added"), F.when(known, 0).otherwise(F.col("_old")).alias("removed"),
+        F.when(known, F.col("_old")).otherwise(0).alias("kept"))
+
+
 def diff_baselines(prev: DataFrame, cur: DataFrame, key: str = "customer_key") -> DataFrame:
     """Full-outer comparison of two builds: what happened to each customer and how far the median moved."""
     p = prev.select(key, F.col("amt_median").alias("prev_median"), F.col("hour_hist").alias("_ph"), F.lit(True).alias("_p"))

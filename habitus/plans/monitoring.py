@@ -247,7 +247,7 @@ def o13(spark, d):
     train = training(spark, d, *AMOUNTS, *SETS)
     prev, cur = two_models(train)
     late = train.groupBy("customer_key").agg(F.max("ts").alias("m")).where("m >= TIMESTAMP '2000-06-01'")
-    changes = B.set_changes(B.members(train.where("ts < TIMESTAMP '2000-01-01'")), B.members(train.join(late, "customer_key", "left_semi")))
+    changes = B.set_changes_since(train, F.expr("ts < TIMESTAMP '2000-01-01'"), current=late)
     return A.behaviour_change(B.diff_baselines(prev, cur), changes).select("customer_key", "transition", "benefs_added", "benefs_removed", "locs_added")
 
 
