@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from habitus.config import DEFAULTS, FEATURES, Settings
 from habitus.functions.normalize import is_night
-from habitus.operators import baseline as B, velocity as V
-from habitus.operators.ordered import quantiles
+from habitus.operators import baseline as B, filters as L, velocity as V
+from habitus.operators.ordered import WHOLE, by_size, quantiles
 from habitus.operators.salted import salted_join
 
 EPS = 1e-9
@@ -91,6 +91,36 @@ def with_novelty(df: DataFrame, member_rows: DataFrame, key: str = "customer_key
     return out.withColumns(flags).drop("_asked", *(f"{c}_{k}" for k in NOVELTY for c in ("_in", "n", "_may")))
 
 
+def novelty_since(
+    rows: DataFrame, cut: Column, keep: str = "transaction_id", key: str = "customer_key", min_txns: int = DEFAULTS.ml_min_txns,
+    min_days: int = DEFAULTS.ml_min_days, whole: int = WHOLE,
+) -> DataFrame:
+    """with_novelty of the rows from `cut` on, against what eligible customers were seen with in clean rows before it; `keep` and the flags.
+
+    `rows` have their text, ts and bad, and are read from storage. Rows of customers with few of them move once, to their customer,
+    and everything is found beside them; only customers with very many rows take the lookups of with_novelty.
+    """
+    later, mine = F.col("ts") >= cut, Window.partitionBy(key)
+
+    def beside(part: DataFrame) -> DataFrame:
+        moved = part.select(
+            key, F.when(later, F.col(keep)).alias(keep), later.alias("_later"), F.when(~F.col("bad"), F.col("ts")).alias("_clean"),
+            *[v.alias(n) for n, v in novelty_values().items()]).repartition(key)
+        enough = (F.count("_clean").over(mine) >= min_txns) & (L.whole_days(F.min("_clean").over(mine), F.max("_clean").over(mine)) >= min_days)
+        out = moved.withColumn("_learned", F.coalesce(F.col(key).isNotNull() & enough & (F.col("_clean") < cut), F.lit(False)))
+        out = out.withColumns({f"_any_{k}": F.bool_or(F.col("_learned") & F.col(f"_v_{k}").isNotNull()).over(mine) for k in NOVELTY})
+        out = out.withColumns({f"_in_{k}": F.bool_or("_learned").over(Window.partitionBy(key, f"_v_{k}")) for k in NOVELTY})
+        flags = {name: flag(F.col(f"_any_{k}") & F.col(f"_v_{k}").isNotNull() & ~F.col(f"_in_{k}")) for k, name in NOVELTY.items()}
+        return out.where("_later").select(keep, *[f.alias(n) for n, f in flags.items()])
+
+    def apart(part: DataFrame) -> DataFrame:
+        clean = part.where("NOT bad")
+        train = L.only_eligible(clean.where(~later), L.ml_eligible(clean, min_txns, min_days))
+        return with_novelty(part.where(later), B.members(train)).select(keep, *NOVELTY.values())
+
+    return by_size(rows.where(later | ~F.col("bad")), (key,), beside, apart, whole=whole)
+
+
 def entity_median(df: DataFrame, key: str = "customer_key") -> DataFrame:
     """Unweighted median amount per customer of a frame."""
     return quantiles(df, "amount", {"frame_median": 0.5}, (key,), stored=True)

@@ -103,10 +103,13 @@ def validation_report(df: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
         counts.select("*", one).join(copies.select("*", one), "_one").join(kept.select("*", one), "_one").drop("_one"))
 
 
+def whole_days(first: Column, last: Column) -> Column:
+    return F.call_function("div", F.unix_micros(last) - F.unix_micros(first), F.lit(86_400_000_000))
+
+
 def ml_eligible(clean: DataFrame, min_txns: int = DEFAULTS.ml_min_txns, min_days: int = DEFAULTS.ml_min_days) -> DataFrame:
     """Customers with enough clean transactions over enough whole days, with both partial conditions."""
-    span = F.expr("(unix_micros(max(ts)) - unix_micros(min(ts))) div 86400000000")
-    per = clean.groupBy("customer_key").agg(F.count("*").alias("txns"), span.alias("span_days"))
+    per = clean.groupBy("customer_key").agg(F.count("*").alias("txns"), whole_days(F.min("ts"), F.max("ts")).alias("span_days"))
     return per.withColumns({
         "enough_txns": F.col("txns") >= min_txns, "enough_days": F.col("span_days") >= min_days,
     }).withColumn("eligible", F.col("enough_txns") & F.col("enough_days"))
