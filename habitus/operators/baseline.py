@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from habitus.config import DEFAULTS, Settings, WEEKDAYS
 from habitus.functions.maps import set_diff, top_buckets
 from habitus.functions.normalize import canonical_location, canonical_type, days_between, decay_weight, ip_subnet_strict
-from habitus.operators.ordered import by_size, quantile_arrays, quantiles, weighted_quantiles
+from habitus.operators.ordered import WHOLE, by_size, quantile_arrays, quantiles, weighted_quantiles
 
 
 
@@ -41,6 +41,24 @@ def member_arrays(member_rows: DataFrame, kinds: list[str], key: str = "customer
         F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("value")))).alias(k) for k in kinds])
 
 
+def set_summaries(
+    rows: DataFrame, counted: tuple[str, ...], listed: tuple[str, ...], key: str = "customer_key", whole: int = WHOLE,
+) -> DataFrame:
+    """set_sizes of the sets `counted` beside member_arrays of those `listed`, straight from rows that are read from storage: rows of
+    customers with few of them move once, with the values of these sets only."""
+    kinds = {k: v for k, v in set_values().items() if k in (*counted, *listed)}
+    values = rows.select(key, *[v.alias(f"_v_{k}") for k, v in kinds.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_v_{k}").alias("value")) for k in kinds]))
+
+    def found(part: DataFrame) -> DataFrame:
+        seen = part.select(key, each.alias("p")).where("p.value IS NOT NULL").select(key, "p.kind", "p.value").distinct()
+        return seen.groupBy(key).agg(
+            *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in counted],
+            *[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("value")))).alias(k) for k in listed])
+
+    return by_size(values, (key,), lambda part: found(part.repartition(key)), found, whole=whole)
+
+
 def largest_sets(member_rows: DataFrame, key: str = "customer_key") -> dict[str, int]:
     """Largest size of each kind of set; five numbers."""
     sizes = member_rows.groupBy(key, "kind").agg(F.count("*").alias("n")).groupBy("kind").agg(F.max("n").alias("n"))
@@ -105,13 +123,15 @@ def psi(ref: Column, cur: Column, eps: float = 1e-6) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def baseline_view(base: DataFrame, sizes: DataFrame, known: DataFrame, key: str = "customer_key", locations: int | None = None) -> DataFrame:
+def baseline_view(base: DataFrame, sizes: DataFrame, known: DataFrame | None = None, key: str = "customer_key", locations: int | None = None) -> DataFrame:
     """Readable view of learned baselines: rounded amounts, busiest hours and days, set sizes and members.
 
-    A display may ask for the first few `locations` only; their full number is beside them.
+    A display may ask for the first few `locations` only; their full number is beside them. `sizes` may hold the members as well.
     """
+    sets = base.join(sizes, key, "left")
+    sets = sets.join(known, key, "left") if known is not None else sets
     places = F.coalesce("locs", F.array().cast("array<string>"))
-    return base.join(sizes, key, "left").join(known, key, "left").select(
+    return sets.select(
         key, *[F.round(f"amt_{n}", 2).alias(n) for n in ("median", "mean", "p95", "max", "std")],
         top_buckets("hour_hist").alias("usual_hours"), top_buckets("dow_hist", labels=WEEKDAYS).alias("usual_days"),
         (places if locations is None else F.slice(places, 1, locations)).alias("known_locations"), F.coalesce("n_locs", F.lit(0)).alias("n_locations"), F.coalesce("n_benefs", F.lit(0)).alias("known_beneficiaries"),

@@ -10,7 +10,7 @@ from habitus.functions.normalize import exact_sum, normalize_currency
 from habitus.operators import analyst as A, baseline as B, filters as L, monitor as M, profile as P
 from habitus.plans.ctes import MODEL_BASE, PROFILE_BASE, SANE, TXN, with_
 from habitus.plans.ingesting import CFG, PROF, TRUST, small_profiles
-from habitus.plans.modelling import AMOUNTS, BASELINE, DRIFT_CTE, MEMBERS, MEM_PAST, MIDS, PAST, SETS, TW, TWO, training, two_models
+from habitus.plans.modelling import AMOUNTS, BASELINE, DRIFT_CTE, MEMBERS, MEM_PAST, MIDS, PAST, SETS, TW, TWO, learned_view, training, two_models
 from habitus.plans.profiling import AGED, CCY, clean_rows
 from habitus.plans.registry import query
 from habitus.sources.logs import log_rows
@@ -231,9 +231,7 @@ def o10(spark, d):
 @query("o12_learned_view", with_(*MODEL_BASE, TW, MIDS, BASELINE) + """SELECT CAST(c_custkey AS VARCHAR) AS customer_key, b.n IS NULL AS is_cold_start, CASE WHEN b.n IS NULL THEN 'population' ELSE 'personal' END AS baseline_type, round(amt_median, 2) AS median
 FROM customer LEFT JOIN base b ON b.customer_key = CAST(c_custkey AS VARCHAR)""")
 def o12(spark, d):
-    train = training(spark, d, *AMOUNTS, *SETS)
-    rows = B.members(train)
-    view = B.baseline_view(B.fit_baseline(train), B.set_sizes(rows), B.member_arrays(rows, ["locs", "types"]))
+    view = learned_view(spark, d)
     keys = load(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("customer_key"))
     return A.learned(view, keys).select("customer_key", "is_cold_start", "baseline_type", "median")
 
