@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from habitus.config import DEFAULTS, Settings
 from habitus.functions.normalize import canonical_verdict, days_between
 from habitus.operators.baseline import bin_shares, psi
-from habitus.operators.filters import latest
+from habitus.operators.filters import first_per_key, latest
 from habitus.operators.ordered import quantiles
 from habitus.operators.velocity import previous_value
 
@@ -73,12 +73,13 @@ def changed_alerts(signatures: DataFrame, key: str = "alert_key", tie: tuple[str
     return seen.where(F.col("previous").isNull() | (F.col("previous") != F.col("signature")))
 
 
-def link_feedback(verdicts: DataFrame, decisions: DataFrame, existing: DataFrame) -> DataFrame:
+def link_feedback(verdicts: DataFrame, decisions: DataFrame, existing: DataFrame, tie: tuple[str, ...] = ()) -> DataFrame:
     """The feedback table after new verdicts: linked to the latest decision, unknown transactions kept, latest wins.
 
-    A null link never replaces a stored one.
+    A null link never replaces a stored one. Of verdicts of one time the first by `tie` counts, or else the last by name.
     """
-    newest = latest(verdicts.withColumn("verdict", canonical_verdict("verdict")).where("verdict IS NOT NULL"), ["transaction_id"], ("created_at", "verdict"))
+    known = verdicts.withColumn("verdict", canonical_verdict("verdict")).where("verdict IS NOT NULL")
+    newest = first_per_key(known, ["transaction_id"], [F.desc("created_at"), *[F.asc(c) for c in tie], F.desc("verdict")]).drop(*tie)
     linked = newest.join(latest_decisions(decisions).select("transaction_id", "entity_key", "decision"), "transaction_id", "left")
     old = existing.select("transaction_id", F.col("entity_key").alias("_e"), F.col("decision").alias("_d"), F.col("verdict").alias("_v"))
     return linked.join(old, "transaction_id", "full_outer").select(
